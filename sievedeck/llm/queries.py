@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievedeck.llm import bpe, packing, tokenstore
+from sievedeck.llm import bpe, jpeg, packing, tokenstore, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +23,22 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.write_token_store(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).statistics()
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    scored = toxicity.score_toxicity(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.media_features(jpeg.with_media(_documents(spark, sf_dir).select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
