@@ -593,7 +593,7 @@ def with_media(df: DataFrame, text_col: str = "text", out_col: str = "media") ->
         import pandas as pd
 
         out: list[bytes] = []
-        for row, stop, data, offs in text_slices(pa.array(texts, pa.string())):
+        for row, stop, data, offs in text_slices(pa.array(texts, pa.string()), 1 << 19):
             raw = data.tobytes()
             out += payload_media([raw[offs[k] : offs[k + 1]] for k in range(stop - row)])
         return pd.Series(out, dtype=object)
@@ -601,8 +601,8 @@ def with_media(df: DataFrame, text_col: str = "text", out_col: str = "media") ->
     return df.withColumn(out_col, make(F.col(text_col)))
 
 
-def _some(files: list[bytes], most: int = 1 << 20):
-    """Runs of files of about a megabyte."""
+def _some(files: list[bytes], most: int = 1 << 19):
+    """Runs of files of about half a megabyte."""
     at = 0
     while at < len(files):
         stop, size = at, 0

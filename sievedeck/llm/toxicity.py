@@ -31,7 +31,7 @@ from sievedeck.llm.textvec import LOWER, span_hash, text_slices
 from sievedeck.session import ensure_importable
 
 BITS, LEAST_DOCS, DIM, FILTERS, WIDTHS = 23, 3, 8, 8, (1, 2, 3)
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 6_000
 
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -109,8 +109,14 @@ class ToxicityModel:
     def scores(self, hashed: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         if self.constant is not None:
             return np.full(n, self.constant)
-        logit = (self.features(hashed, doc, n).astype(np.float64) * self.weights.astype(np.float64)).sum(1) + self.offset
-        return 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(hashed, doc, n) + self.shift, -40, 40)))
+
+    def logits(self, hashed: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+        """Summed feature by feature, so that a text's score is the same in any batch."""
+        out = np.full(n, self.offset)
+        for x, w in zip(self.features(hashed, doc, n).astype(np.float64).T, self.weights.astype(np.float64), strict=True):
+            out += x * w
+        return out
 
     def score_texts(self, texts: list[str | None]) -> np.ndarray:
         parts = [self.scores(*buckets(data, offs), stop - row) for row, stop, data, offs in text_slices(pa.array(texts, pa.string()))]
@@ -209,7 +215,7 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], epochs:
                 x -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
     model = ToxicityModel(known, p["E"][1:], [p[f"F{w}"] for w in WIDTHS], [p[f"b{w}"] for w in WIDTHS], p["v"], float(p["c"][0]))
     hashed, doc = np.concatenate([docs[k] for k in aside]), np.repeat(np.arange(len(aside)), [len(docs[k]) for k in aside])
-    logit = (model.features(hashed, doc, len(aside)).astype(np.float64) * model.weights.astype(np.float64)).sum(1) + model.offset
+    logit = model.logits(hashed, doc, len(aside))
     model.scale, model.shift = _platt(logit, label[aside])
     score = model.scores(hashed, doc, len(aside))
     for lang in sorted({x for x in langs if x}):
