@@ -56,13 +56,15 @@ def buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return (span_hash(data, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64), np.searchsorted(offs, starts, "right") - 1
 
 
-def _padded(rows: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of all documents with zeros (the empty word) after each, and where each document starts."""
+def _padded(rows: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of all documents with zeros (the empty word) after each, where each document
+    starts, and the windows that begin at no word, which count for nothing."""
     pad = max(WIDTHS)
     count = np.bincount(doc, minlength=n)
-    out = np.zeros(len(rows) + pad * n, np.int64)
-    out[np.arange(len(rows)) + pad * doc] = rows
-    return out, np.cumsum(count + pad) - (count + pad)
+    out, none = np.zeros(len(rows) + pad * n, np.int64), np.ones(len(rows) + pad * n, bool)
+    at = np.arange(len(rows)) + pad * doc
+    out[at], none[at] = rows, False
+    return out, np.cumsum(count + pad) - (count + pad), np.flatnonzero(none[: len(none) - pad + 1])
 
 
 @dataclass
@@ -96,13 +98,14 @@ class ToxicityModel:
 
     def features(self, hashed: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         row, tables = self.tables()
-        rows, starts = _padded(row[hashed], doc, n)
+        rows, starts, none = _padded(row[hashed], doc, n)
         size = len(rows) - max(WIDTHS) + 1
         out = []
         for w, table, bias in zip(WIDTHS, tables, self.bias, strict=True):
             z = table[0][rows[:size]]
             for j in range(1, w):
                 z += table[j][rows[j : size + j]]
+            z[none] = -1e9
             out.append(np.maximum(np.maximum.reduceat(z, starts, axis=0) + bias, 0))
         return np.hstack(out)
 
@@ -180,13 +183,14 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], epochs:
         for at in range(0, len(shuffled), batch):
             own = shuffled[at : at + batch]
             n = len(own)
-            rows, starts = _padded(np.concatenate([texts_rows[k] for k in own]), np.repeat(np.arange(n), [len(texts_rows[k]) for k in own]), n)
+            rows, starts, none = _padded(np.concatenate([texts_rows[k] for k in own]), np.repeat(np.arange(n), [len(texts_rows[k]) for k in own]), n)
             size = len(rows) - max(WIDTHS) + 1
             places, features = [], []
             for w in WIDTHS:
                 z = np.zeros((size, FILTERS), np.float32)
                 for j in range(w):
                     z += p["E"][rows[j : size + j]] @ p[f"F{w}"][j]
+                z[none] = -1e9
                 top = np.maximum.reduceat(z, starts, axis=0)
                 span = np.repeat(np.arange(n), np.diff(np.append(starts, size)))
                 hit = np.where(z == top[span], np.arange(size)[:, None], size)
