@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -60,9 +61,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/sievedeck-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _MADE.append((spark, path))
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of jobs that are over.
+
+    It does so when the driver collects garbage, which on a large heap may be
+    long after a staged table has made them useless.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Remember a folder for deletion at exit."""
     _MADE.append((spark, path))
