@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievedeck.llm import bpe, jpeg, packing, tokenstore, toxicity
+from sievedeck.llm import bpe, jpeg, lines, packing, substrings, tokenstore, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,10 +19,19 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_dedup(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "dedup.n_words", "dedup.n_removed", "dedup.kept_sha256")
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.write_token_store(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).statistics()
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lines.line_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
+    return made.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

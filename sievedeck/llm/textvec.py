@@ -71,15 +71,20 @@ def sequence_hash(items: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
     base = np.uint64(_BASES[1 - lane])
     if lane:
         items = mix(items + np.uint64(0xA5A5A5A55A5A5A5A))
-    if k <= 6:
-        h = np.zeros(n, np.uint64)
-        for j in range(k):
-            h = h * base + items[j : n + j]
-        return mix(h)
+    if k > 6:
+        return range_hash(items, np.arange(n), np.arange(k, n + k), lane)
+    h = np.zeros(n, np.uint64)
+    for j in range(k):
+        h = h * base + items[j : n + j]
+    return mix(h)
+
+
+def range_hash(items: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """Hash of each run items[start:end] of 64-bit items."""
     power, inverse = _powers(1 - lane, len(items) + 1)
     total = np.zeros(len(items) + 1, np.uint64)
     np.cumsum(items * power[: len(items)], out=total[1:])
-    return mix((total[k:] - total[:-k]) * inverse[:n])
+    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _GOLD)
 
 
 def text_slices(column: pa.Array | pa.ChunkedArray, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
