@@ -62,7 +62,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     _MADE.append((spark, path))
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._staged_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table._staged_path)
 
 
 def release(spark: SparkSession) -> None:
@@ -80,11 +88,15 @@ def forget(spark: SparkSession, path: str) -> None:
     _MADE.append((spark, path))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def _clean() -> None:
     for spark, path in _MADE:
         try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone already
             return
 
