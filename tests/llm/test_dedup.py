@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from sievedeck.llm import lines, substrings, textvec
+from sievedeck.llm import lines, neardup, substrings, textvec
 from tests.llm.conftest import odd_rows, table
 
 
@@ -122,3 +122,73 @@ def test_chunks_resist_shifts():
     a, b = cut("\n".join(body).encode()), cut("\n".join(["x", *body]).encode())
     assert len(a & b) > 0.8 * len(a)
     assert pa.array([1]) is not None
+
+
+def slow_near(rows, k, percent=80):
+    """All pairs on Python sets, then components."""
+    sets = {}
+    for i, text in rows:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        sets[i] = {tuple(ws[a : a + k]) for a in range(len(ws) - k + 1)} if len(ws) >= k else ({tuple(ws)} if ws else set())
+    top = {i: i for i in sets}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                top[b] = a
+    return {i: (len(sets[i]), root(i), root(i) == i) for i in ids}
+
+
+def near_copies(seed=2, groups=12):
+    r = random.Random(seed)
+    words = [f"w{k}" for k in range(900)]
+    out = []
+    for g in range(groups):
+        base = [r.choice(words) for _ in range(r.choice([3, 8, 40, 200]))]
+        for _ in range(r.randrange(1, 15)):
+            text = list(base)
+            for _ in range(r.randrange(0, 6) * len(base) // 100):
+                text[r.randrange(len(text))] = r.choice(words)
+            out.append(" ".join(text).upper() if r.random() < 0.2 else " ".join(text))
+        chain = list(base)
+        for _ in range(6):  # each near the one before, the ends apart
+            for _ in range(max(1, len(chain) // 50)):
+                chain[r.randrange(len(chain))] = r.choice(words)
+            out.append(" ".join(chain))
+    r.shuffle(out)
+    return [(3 * i, t) for i, t in enumerate(out)]
+
+
+def test_near_duplicates_against_brute_force(spark, empty):
+    for rows, k in ((near_copies(), 4), (unique_ids(odd_rows()), 5), (near_copies(9, 20), 5)):
+        got = neardup.near_duplicates(table(spark, rows), shingle_words=k).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == slow_near(rows, k)
+    assert neardup.near_duplicates(empty).collect() == []
+
+
+def test_near_duplicates_with_null_and_shared_ids(odd):
+    rows = neardup.near_duplicates(odd).collect()
+    assert len(rows) == odd.count()
+    assert [(r["component_id"], r["kept"]) for r in rows if r["doc_id"] is None] == [(None, True)]
+
+
+def test_odd_sketches_estimate_similarity():
+    r = np.random.default_rng(4)
+    for share in (0.75, 0.85, 0.95):
+        error = []
+        for _ in range(20):
+            common = r.integers(0, 1 << 63, 1000, dtype=np.uint64)
+            extra = int(1000 * (1 - share) / share / 2)
+            a, b = (np.concatenate([common, r.integers(0, 1 << 63, extra, dtype=np.uint64)]) for _ in range(2))
+            x, y = (neardup.signatures(s, np.array([0, len(s)]))[1][0] for s in (a, b))
+            ones = sum(int(v).bit_count() for v in x ^ y)
+            assert ones <= neardup.sketch_bound(0.75)
+            error.append(neardup.estimated_similarity(ones) - share)
+        assert abs(np.mean(error)) < 0.04
