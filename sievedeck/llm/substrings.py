@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievedeck.llm.textvec import gather, range_hash, sequence_hash, span_hash, text_slices, words
-from sievedeck.session import ensure_importable, staged
+from sievedeck.session import discard, ensure_importable, staged
 
 WINDOW, SEED = 20, 6
 
@@ -129,7 +129,7 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
 
 
 def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id, at, windows, ref_doc, ref_at: runs of windows that also start at an earlier place."""
+    """doc_id and found, an array of (at, windows, ref_doc, ref_at): runs of windows that also start at an earlier place."""
     ensure_importable(df.sparkSession)
     docs = _source(df, id_col, text_col)
     seeds = staged(_seed_counts(docs, window).groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed"), "seeds")
@@ -142,7 +142,9 @@ def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     singles = rows.join(first, ["w1", "w2"]).where(F.struct("doc_id", "at") != F.col("ref")).select("doc_id", "at", F.lit(1).cast("long").alias("windows"), F.col("ref.doc_id").alias("ref_doc"), F.col("ref.at").alias("ref_at"))
     whole = blocks.join(index.where("n > 1"), ["seed", "c1", "c2"]).where(F.struct("doc_id", "place") != F.col("ref"))
     whole = whole.select("doc_id", F.floor(F.col("place") / 64).alias("at"), (F.col("place") % 64 + 1).alias("windows"), F.col("ref.doc_id").alias("ref_doc"), F.floor(F.col("ref.place") / 64).alias("ref_at"))
-    return whole.unionByName(singles)
+    found = staged(whole.unionByName(singles).groupBy("doc_id").agg(F.collect_list(F.struct("at", "windows", "ref_doc", "ref_at")).alias("found")), "found")
+    discard(seeds, blocks, index, rows)
+    return found
 
 
 def factor(rows: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
@@ -198,7 +200,7 @@ def _stripped(data: np.ndarray, offs: np.ndarray, factors: list[list[tuple[int,
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Add ``dedup``: text (what is left), n_words, n_removed, kept_sha256 (of the kept
     words joined by one space) and factors (start, words, ref_doc, ref_start)."""
-    found = matches(df, id_col, text_col, window).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("at", "windows", "ref_doc", "ref_at")).alias("__found"))
+    found = matches(df, id_col, text_col, window).toDF("__id", "__found")
 
     @F.pandas_udf("struct<text: string, n_words: long, n_removed: long, kept_sha256: string, factors: array<struct<start: long, words: long, ref_doc: long, ref_start: long>>>")
     def strip(texts, lists):
