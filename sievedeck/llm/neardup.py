@@ -2,10 +2,12 @@
 
 A document's set is its distinct ``words``-word shingles. Documents of equal sets are one
 class, found by a wide order-free hash of the set. Each class has ``BANDS * ROWS``
-MinHash samples; bands of samples are bucket keys, and all samples are folded into a
-parity bitmap (an odd sketch), where the number of ones in the XOR of two bitmaps
-estimates high similarities precisely. Candidates that pass the sketch
-are verified on their full shingle sets, so no link rests on an estimate.
+MinHash samples whose bands are bucket keys, and ``BITS`` more from one permutation cut into
+as many parts, the least shingle hash of each part. These are folded into a parity bitmap (an odd
+sketch): where two bitmaps differ, the number of ones tells how many samples differ, precisely
+for high similarities and exactly enough for short sets, of which nearly all shingles are samples.
+Candidates that pass the sketch are verified on their full shingle sets, so no link rests
+on an estimate.
 
 Buckets never give all pairs. First each member meets two hubs of its bucket
 (linear in the bucket), and verified links make components. Only buckets whose members still lie
@@ -30,7 +32,8 @@ from pyspark.sql import functions as F
 from sievedeck.llm.textvec import LOWER, mix, range_hash, sequence_hash, span_hash, text_slices, words
 from sievedeck.session import discard, ensure_importable, staged
 
-BANDS, ROWS, SKETCH_WORDS = 32, 4, 8
+BANDS, ROWS, BITS = 32, 4, 1024
+SKETCH_WORDS = BITS // 64
 _SEED = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTOR, _ADD = _SEED[: BANDS * ROWS] | np.uint64(1), _SEED[BANDS * ROWS :]
 
@@ -56,44 +59,52 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
     return items, np.searchsorted(owner, np.arange(n + 1))
 
 
-def signatures(items: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (documents x BANDS) and odd sketches (documents x SKETCH_WORDS) of the non-empty sets."""
+def band_keys(items: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Bucket keys (documents x BANDS) of the non-empty sets."""
     at = edges[:-1][np.diff(edges) > 0]
-    samples = np.empty((BANDS * ROWS, len(at)), np.uint64)
     buffer = np.empty_like(items)
-    for j in range(BANDS * ROWS):
-        np.multiply(items, _FACTOR[j], out=buffer)
-        np.add(buffer, _ADD[j], out=buffer)
-        samples[j] = np.minimum.reduceat(buffer, at)
-    samples = mix(samples ^ _ADD[:, None])
     keys = np.empty((BANDS, len(at)), np.uint64)
     for b in range(BANDS):
         key = np.full(len(at), b + 1, np.uint64)
-        for r in range(ROWS):
-            key = mix(key ^ samples[b * ROWS + r])
+        for j in range(b * ROWS, (b + 1) * ROWS):
+            np.multiply(items, _FACTOR[j], out=buffer)
+            np.add(buffer, _ADD[j], out=buffer)
+            key = mix(key ^ np.minimum.reduceat(buffer, at))
         keys[b] = key
-    bit = mix(samples + np.uint64(1)) % np.uint64(64 * SKETCH_WORDS)
-    sketch = np.zeros((len(at), SKETCH_WORDS), np.uint64)
-    rows = np.arange(len(at))
-    for j in range(BANDS * ROWS):
-        sketch[rows, (bit[j] >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit[j] & np.uint64(63))
-    return keys.T.copy(), sketch
+    return keys.T.copy()
 
 
-def sketch_bound(similarity: float) -> int:
-    """Ones in the XOR of two sketches that pairs of this similarity stay under, by five deviations of
-    the samples and three of the bitmap."""
-    k, bits = BANDS * ROWS, 64 * SKETCH_WORDS
-    differ = 2 * min(k, k * (1 - similarity) + 5 * (k * similarity * (1 - similarity)) ** 0.5)
-    ones = bits / 2 * (1 - (1 - 2 / bits) ** differ)
-    return int(np.ceil(ones + 3 * (bits / 4 * (1 - (1 - 2 / bits) ** (2 * differ))) ** 0.5))
+def odd_sketches(items: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Parity bitmaps (documents x SKETCH_WORDS) of the non-empty sets; items ascend within a set."""
+    size = np.diff(edges)
+    size = size[size > 0]
+    owner = np.repeat(np.arange(len(size)), size)
+    part = items >> np.uint64(64 - BITS.bit_length() + 1)
+    least = np.ones(len(items), bool)
+    least[1:] = (part[1:] != part[:-1]) | (owner[1:] != owner[:-1])
+    bit = (mix(items[least] + np.uint64(1)) % np.uint64(BITS)).astype(np.int64)
+    odd = np.bincount(owner[least] * BITS + bit, minlength=len(size) * BITS) & 1
+    return np.packbits(odd.astype(bool).reshape(-1, BITS), axis=1, bitorder="little").view(np.uint64)
 
 
-def estimated_similarity(ones: np.ndarray) -> np.ndarray:
-    """Similarity for a number of ones in the XOR of two sketches."""
-    k, bits = BANDS * ROWS, 64 * SKETCH_WORDS
-    differ = np.log(np.maximum(1e-12, 1 - 2 * np.asarray(ones, float) / bits)) / np.log(1 - 2 / bits)
-    return np.clip(1 - differ / (2 * k), 0, 1)
+def sketch_bound(total: float, similarity: float) -> int:
+    """Ones in the XOR of the sketches of two sets of so many shingles together that pairs of this similarity
+    stay under: by five deviations of the samples and four of the bitmap."""
+    union = total / (1 + similarity)
+    load = union / BITS
+    parts = min(union, BITS * (1 - np.exp(-load)))
+    apart = min(parts, parts * (1 - similarity) + 5 * np.sqrt(parts * similarity * (1 - similarity)) + 1)
+    differ = apart * (2 - np.exp(-load))
+    ones = BITS / 2 * (1 - (1 - 2 / BITS) ** differ)
+    return int(np.ceil(ones + 4 * np.sqrt(BITS / 4 * (1 - (1 - 2 / BITS) ** (2 * differ)))))
+
+
+STEPS_AN_OCTAVE = 8
+
+
+def sketch_bounds(similarity: float) -> list[int]:
+    """Bounds by floor(8 * log2(total)), each for the largest total of its step."""
+    return [max(sketch_bound(2 ** (k / STEPS_AN_OCTAVE), similarity) for k in (step, step + 1)) for step in range(40 * STEPS_AN_OCTAVE)]
 
 
 def sketch_rows(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -110,7 +121,7 @@ def sketch_rows(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 if len(some):
                     for s, salt in zip(sums, (3, 5), strict=True):
                         s[some] = np.add.reduceat(mix(items * np.uint64(2 * salt + 1) + np.uint64(salt)), edges[:-1][some])
-                    keys, sketch = signatures(items, edges)
+                    keys, sketch = band_keys(items, edges), odd_sketches(items, edges)
                 lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum((n > 0) * w)), pa.int32()), pa.array(x.reshape(-1).view(np.int64))) for x, w in ((keys, BANDS), (sketch, SKETCH_WORDS))]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(row, stop - row), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), *lists],
@@ -187,13 +198,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .join(crowd.select(F.col("doc_id").alias("a")).distinct(), "a", "left_semi").groupBy("a").agg(F.max("text").alias("text")),
         "texts",
     )
-    bound = sketch_bound(percent / 100)
+    alike = _alike(percent)
     sketch = reps.select("doc_id", "sketch", "n_shingles").join(texts.select(F.col("a").alias("doc_id")), "doc_id", "left_semi")
 
     def sifted(pairs: DataFrame) -> DataFrame:
         """Pairs whose sketches and set sizes leave the similarity possible."""
         x, y = sketch.toDF("a", "sa", "na"), sketch.toDF("b", "sb", "nb")
-        return pairs.join(x, "a").join(y, "b").where(_ones("sa", "sb") <= bound).where(_sizes(percent)).select("a", "b")
+        return pairs.join(x, "a").join(y, "b").where(alike).select("a", "b")
 
     hubs = crowd.select("doc_id", F.explode(F.array("hub", "other")).alias("b")).where("doc_id <> b")
     stars = sifted(hubs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct())
@@ -204,7 +215,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     apart = staged(placed.join(mixed, "key").join(sketch, "doc_id"), "apart")
     left, right = apart.toDF("a", "key", "ca", "sa", "na"), apart.toDF("b", "key", "cb", "sb", "nb")
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("ca") > F.col("cb")) & (_ones("sa", "sb") <= bound) & _sizes(percent)).select("a", "b").distinct()
+    across = left.join(right, (left["key"] == right["key"]) & (F.col("ca") > F.col("cb")) & alike).select("a", "b").distinct()
     tested = crowd.select("doc_id", F.explode(F.array("hub", "other")).alias("b")).select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
     across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     more = staged(_verified(across, texts, shingle_words, percent), "links")
@@ -217,13 +228,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _ones(x: str, y: str):
-    total = F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0]))
+def _alike(percent: int):
+    """Whether sizes and sketches of a pair leave the similarity possible."""
+    ones = F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0]))
     for k in range(1, SKETCH_WORDS):
-        total = total + F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k]))
-    return total
-
-
-def _sizes(percent: int):
-    """The similarity is at most the smaller size by the larger."""
-    return F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+        ones = ones + F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k]))
+    step = F.floor(F.log2(F.col("na") + F.col("nb")) * STEPS_AN_OCTAVE).cast("int")
+    bound = F.element_at(F.lit(sketch_bounds(percent / 100)), step + 1)
+    return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (ones <= bound)

@@ -179,16 +179,17 @@ def test_near_duplicates_with_null_and_shared_ids(odd):
     assert [(r["component_id"], r["kept"]) for r in rows if r["doc_id"] is None] == [(None, True)]
 
 
-def test_odd_sketches_estimate_similarity():
+def test_odd_sketches_tell_high_similarities_apart():
     r = np.random.default_rng(4)
-    for share in (0.75, 0.85, 0.95):
-        error = []
-        for _ in range(20):
-            common = r.integers(0, 1 << 63, 1000, dtype=np.uint64)
-            extra = int(1000 * (1 - share) / share / 2)
-            a, b = (np.concatenate([common, r.integers(0, 1 << 63, extra, dtype=np.uint64)]) for _ in range(2))
-            x, y = (neardup.signatures(s, np.array([0, len(s)]))[1][0] for s in (a, b))
-            ones = sum(int(v).bit_count() for v in x ^ y)
-            assert ones <= neardup.sketch_bound(0.75)
-            error.append(neardup.estimated_similarity(ones) - share)
-        assert abs(np.mean(error)) < 0.04
+    for size in (3, 30, 400, 3000):
+        for share, passes in ((0.8, True), (0.9, True), (0.55, False)):
+            for _ in range(30):
+                common = r.integers(0, 1 << 63, int(size * share), dtype=np.uint64) * np.uint64(2)
+                extra = [r.integers(0, 1 << 63, x, dtype=np.uint64) * np.uint64(2) for x in ((size - len(common)) // 2, (size - len(common) + 1) // 2)]
+                a, b = (np.unique(np.concatenate([common, e])) for e in extra)
+                x, y = (neardup.odd_sketches(s, np.array([0, len(s)]))[0] for s in (a, b))
+                ones = sum(int(v).bit_count() for v in x ^ y)
+                if passes and len(common) >= 0.8 * size:
+                    assert ones <= neardup.sketch_bounds(0.8)[int(np.floor(8 * np.log2(len(a) + len(b))))]
+                elif not passes and size >= 400:
+                    assert ones > neardup.sketch_bounds(0.8)[int(np.floor(8 * np.log2(len(a) + len(b))))]
