@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from sievedeck.llm.textvec import LOWER, mix, range_hash, sequence_hash, span_hash, text_slices, words
 from sievedeck.session import discard, ensure_importable, staged
 
-BANDS, ROWS, BITS = 32, 4, 1024
+BANDS, ROWS, BITS = 32, 4, 2048
 SKETCH_WORDS = BITS // 64
 _SEED = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTOR, _ADD = _SEED[: BANDS * ROWS] | np.uint64(1), _SEED[BANDS * ROWS :]
@@ -93,10 +93,13 @@ def sketch_bound(total: float, similarity: float) -> int:
     union = total / (1 + similarity)
     load = union / BITS
     parts = min(union, BITS * (1 - np.exp(-load)))
-    apart = min(parts, parts * (1 - similarity) + 5 * np.sqrt(parts * similarity * (1 - similarity)) + 1)
+    # Where nearly all shingles are samples, their share hardly varies.
+    spread = np.sqrt(parts * similarity * (1 - similarity) * max(0.0, 1 - parts / union))
+    apart = min(parts, parts * (1 - similarity) + 5 * spread + 1)
     differ = apart * (2 - np.exp(-load))
-    ones = BITS / 2 * (1 - (1 - 2 / BITS) ** differ)
-    return int(np.ceil(ones + 4 * np.sqrt(BITS / 4 * (1 - (1 - 2 / BITS) ** (2 * differ)))))
+    once, twice = (1 - 2 / BITS) ** differ, (1 - 4 / BITS) ** differ
+    variance = BITS / 4 * (1 - twice) + BITS**2 / 4 * (twice - once**2)
+    return int(np.ceil(BITS / 2 * (1 - once) + 4 * np.sqrt(max(variance, 1))))
 
 
 STEPS_AN_OCTAVE = 8
@@ -185,13 +188,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = staged(sketch_rows(df, id_col, text_col, shingle_words), "sketches")
     kind = rows.schema["doc_id"].dataType
     full = rows.where("doc_id IS NOT NULL AND n_shingles > 0").withColumn("doc_id", F.col("doc_id").cast("long"))
-    classes = staged(full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = full.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = full.select("doc_id", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "rep")
     reps = full.join(classes.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "n_shingles", "doc_id"])
     banded = reps.select("doc_id", F.explode("keys").alias("key"))
     # Two hubs a bucket: the least id, and the least of a hash order.
     order = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("d"))
-    buckets = staged(banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.min(order).alias("other"), F.max("doc_id").alias("top")).where("hub < top").select("key", "hub", F.col("other.d").alias("other")), "buckets")
+    buckets = banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.min(order).alias("other"), F.max("doc_id").alias("top")).where("hub < top").select("key", "hub", F.col("other.d").alias("other"))
     crowd = staged(banded.join(buckets, "key").select("key", "doc_id", "hub", "other"), "crowd")
     texts = staged(
         df.select(F.col(id_col).cast("long").alias("a"), F.col(text_col).alias("text")).where("a IS NOT NULL")
@@ -213,7 +216,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     placed = crowd.select("key", "doc_id").join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("c", "doc_id").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    apart = staged(placed.join(mixed, "key").join(sketch, "doc_id"), "apart")
+    apart = placed.join(mixed, "key").join(sketch, "doc_id")
     left, right = apart.toDF("a", "key", "ca", "sa", "na"), apart.toDF("b", "key", "cb", "sb", "nb")
     across = left.join(right, (left["key"] == right["key"]) & (F.col("ca") > F.col("cb")) & alike).select("a", "b").distinct()
     tested = crowd.select("doc_id", F.explode(F.array("hub", "other")).alias("b")).select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
