@@ -216,11 +216,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     placed = crowd.select("key", "doc_id").join(labels.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("c", "doc_id").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    apart = placed.join(mixed, "key").join(sketch, "doc_id")
-    left, right = apart.toDF("a", "key", "ca", "sa", "na"), apart.toDF("b", "key", "cb", "sb", "nb")
-    across = left.join(right, (left["key"] == right["key"]) & (F.col("ca") > F.col("cb")) & alike).select("a", "b").distinct()
+    apart = placed.join(mixed, "key").join(sketch, "doc_id").join(reps.select("doc_id", "keys"), "doc_id")
+    left, right = apart.toDF("a", "key", "ca", "sa", "na", "ka"), apart.toDF("b", "key", "cb", "sb", "nb", "kb")
+    # A pair comes from the least key it shares only; buckets of any shared key are mixed, too.
+    once = left["key"] == F.array_min(F.array_intersect("ka", "kb"))
+    across = left.join(right, (left["key"] == right["key"]) & (F.col("ca") > F.col("cb")) & alike & once).select("a", "b")
     tested = crowd.select("doc_id", F.explode(F.array("hub", "other")).alias("b")).select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
-    across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).join(tested, ["a", "b"], "left_anti")
     more = staged(_verified(across, texts, shingle_words, percent), "links")
     if not more.isEmpty():
         discard(labels)
