@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievedeck.llm import bpe, jpeg, lines, neardup, packing, substrings, tokenstore, toxicity
+from sievedeck.llm import bpe, fingerprints, jpeg, licences, lines, neardup, packing, substrings, tokenstore, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(_documents(spark, sf_dir))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,6 +52,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_scan(_documents(spark, sf_dir))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.media_features(jpeg.with_media(_documents(spark, sf_dir).select("doc_id", "text")))
 
