@@ -27,5 +27,5 @@ def order_buckets(df: DataFrame, id_col: str, rows_per_bucket: int, least: int =
     high = F.lit([*(float(x) for x in bounds[1:]), float(row["hi"]) + 1])
     k = F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda x: x <= F.col(id_col)))
     a, b = F.element_at(low, k), F.element_at(high, k)
-    inner = F.least(F.lit(parts - 1), F.floor((F.col(id_col).cast("double") - a) / (b - a) * parts))
+    inner = F.least(F.lit(parts - 1), F.floor((F.col(id_col).cast("double") - a) / F.greatest(b - a, F.lit(1.0)) * parts))
     return F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise((k - 1) * parts + inner).cast("long")
