@@ -8,6 +8,8 @@ document is one slice of its own, never a prefix.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from itertools import chain
 
@@ -87,6 +89,12 @@ def range_hash(items: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: in
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _GOLD)
 
 
+def trim() -> None:
+    """Give freed memory back to the system; a worker otherwise keeps its largest use for the next task."""
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_slices(column: pa.Array | pa.ChunkedArray, max_bytes: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, offsets); nulls are empty texts."""
     if isinstance(column, pa.ChunkedArray):
@@ -104,6 +112,7 @@ def text_slices(column: pa.Array | pa.ChunkedArray, max_bytes: int = SLICE_BYTES
         stop = max(row + 1, int(np.searchsorted(offs, offs[row] + max_bytes, "right")) - 1)
         yield row, stop, data[offs[row] : offs[stop]], offs[row : stop + 1] - offs[row]
         row = stop
+    trim()
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +187,7 @@ class PieceCache:
     dropped and learnt again.
     """
 
-    def __init__(self, learn, max_entries: int = 1_500_000):
+    def __init__(self, learn, max_entries: int = 1_000_000):
         self.learn, self.max_entries = learn, max_entries
         self._reset()
 

@@ -18,8 +18,6 @@ labels of one kind only, every score is that share; rows that share an id are sc
 empty table gives an empty result. Several labels of an id count as the greatest.
 """
 
-from __future__ import annotations
-
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -121,8 +119,9 @@ class ToxicityModel:
             out += x * w
         return out
 
-    def score_texts(self, texts: list[str | None]) -> np.ndarray:
-        parts = [self.scores(*buckets(data, offs), stop - row) for row, stop, data, offs in text_slices(pa.array(texts, pa.string()))]
+    def score_texts(self, texts: list[str | None] | pa.Array) -> np.ndarray:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        parts = [self.scores(*buckets(data, offs), stop - row) for row, stop, data, offs in text_slices(texts)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
 
@@ -260,11 +259,9 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 def _scored(df: DataFrame, model: ToxicityModel, text_col: str):
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        return pd.Series(shared.value.score_texts(texts.tolist()))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.score_texts(texts))
 
     return score(F.col(text_col))
 
