@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievedeck.llm.textvec import PieceCache
+from sievedeck.llm.textvec import PieceCache, only
 from sievedeck.session import ensure_importable
 
 STEPS, BLOCK_BYTES = 48, 400_000
@@ -82,7 +82,7 @@ class DuckBpe:
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given_vocabulary")
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pattern = regex.compile(pattern)
-        self.cache = PieceCache(self._learn, 1_000_000)
+        self.cache = PieceCache(self._learn)
 
     def _query(self, name: str, table: pa.Table, sql: str) -> pa.Table:
         self.db.register(name, table)
@@ -150,14 +150,8 @@ class DuckBpe:
         return out
 
 
-_MADE: dict[tuple[str, str], DuckBpe] = {}
-
-
 def worker_bpe(ranks_path: str, pattern: str) -> DuckBpe:
-    key = ranks_path, pattern
-    if key not in _MADE:
-        _MADE[key] = DuckBpe(*key)
-    return _MADE[key]
+    return only(("bpe", ranks_path, pattern), lambda: DuckBpe(ranks_path, pattern))
 
 
 def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:

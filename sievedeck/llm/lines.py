@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievedeck.llm.textvec import sequence_hash, span_hash, text_slices
+from sievedeck.llm.textvec import only, sequence_hash, span_hash, text_slices
 from sievedeck.session import ensure_importable, staged
 
 WINDOW, MODULUS = 2, 3
@@ -78,6 +78,7 @@ def _chunk_rows(df: DataFrame, id_col: str, text_col: str, bytes_too: bool) -> D
     """h1, h2, doc_id (and the bytes) of the distinct chunks of several lines of each document."""
 
     def run(batches):
+        only(("lines",))
         for batch in batches:
             ids = batch.column(0)
             for row, _, data, offs in text_slices(batch.column(1)):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievedeck.llm.textvec import LOWER, mix, range_hash, sequence_hash, span_hash, text_slices, words
+from sievedeck.llm.textvec import LOWER, mix, only, range_hash, sequence_hash, span_hash, text_slices, words
 from sievedeck.session import discard, ensure_importable, staged
 
 BANDS, ROWS, BITS = 32, 4, 2048
@@ -113,6 +113,7 @@ def sketch_bounds(similarity: float) -> list[int]:
 def sketch_rows(df: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """doc_id, n_shingles, s1, s2 (hash of the set), keys, sketch of every document; no keys for empty sets."""
     def run(batches):
+        only(("neardup",))
         for batch in batches:
             ids = batch.column(0)
             for row, stop, data, offs in text_slices(batch.column(1)):
@@ -141,6 +142,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
 
     def run(batches):
+        only(("neardup",))
         held: dict[int, np.ndarray] = {}  # the last hub's set
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievedeck.llm.textvec import gather, range_hash, sequence_hash, span_hash, text_slices, words
+from sievedeck.llm.textvec import gather, only, range_hash, sequence_hash, span_hash, text_slices, words
 from sievedeck.session import discard, ensure_importable, staged
 
 WINDOW, SEED = 20, 6
@@ -75,6 +75,7 @@ def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _seed_counts(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
+        only(("substrings",))
         for batch in batches:
             for _, _, data, offs in text_slices(batch.column(1)):
                 seeds, n = np.unique(_blocks(data, offs, window)[-1], return_counts=True)
@@ -87,6 +88,7 @@ def _block_rows(docs: DataFrame, window: int) -> DataFrame:
     """seed, c1, c2, doc_id, place (first window * 16 + windows - 1) of every block."""
 
     def run(batches):
+        only(("substrings",))
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for row, _, data, offs in text_slices(batch.column(1)):
@@ -106,6 +108,7 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
     """w1, w2, doc_id, at of the windows of the listed blocks (docs: doc_id, text, places)."""
 
     def run(batches):
+        only(("substrings",))
         for batch in batches:
             ids, lists = batch.column(0).to_pylist(), batch.column(2)
             for row, stop, data, offs in text_slices(batch.column(1)):

@@ -187,7 +187,7 @@ class PieceCache:
     dropped and learnt again.
     """
 
-    def __init__(self, learn, max_entries: int = 1_000_000):
+    def __init__(self, learn, max_entries: int = 800_000):
         self.learn, self.max_entries = learn, max_entries
         self._reset()
 
@@ -227,7 +227,7 @@ class PieceCache:
 
     def documents(self, column, kinds: tuple[str, ...]) -> Iterator[tuple[int, dict[str, tuple[np.ndarray, np.ndarray]]]]:
         """Yield (first row, {kind: (values of a slice of rows, offsets of the rows)})."""
-        for row, stop, data, offs in text_slices(column, 2 * SLICE_BYTES):
+        for row, stop, data, offs in text_slices(column):
             starts, ends, doc = tokenizer_pieces(data, offs)
             rows, made = self.rows(data, starts, ends), {}
             for kind in kinds:
@@ -237,12 +237,22 @@ class PieceCache:
             yield row, made
 
 
-_ENCODERS: dict[str, PieceCache] = {}
+_HELD: dict[tuple, object] = {}
+
+
+def only(key: tuple, make=lambda: None):
+    """What a worker keeps between its tasks: one operator's tables and caches at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        trim()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def library_encoder(path: str) -> PieceCache:
     """The worker's cache of ids for a tokenizers file; special strings in texts are ordinary text."""
-    if path not in _ENCODERS:
+
+    def make() -> PieceCache:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -252,12 +262,16 @@ def library_encoder(path: str) -> PieceCache:
         tok.encode_special_tokens = True
 
         def learn(texts: list[str]) -> dict:
-            found = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-            cnt = np.fromiter(map(len, found), np.int32, len(found))
-            return {"ids": (np.fromiter(chain.from_iterable(found), np.uint32, int(cnt.sum())), cnt)}
+            flat, cnt = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
+            for at in range(0, len(texts), 8192):  # encodings are many times the size of their ids
+                found = [e.ids for e in tok.encode_batch_fast(texts[at : at + 8192], add_special_tokens=False)]
+                cnt.append(np.fromiter(map(len, found), np.int32, len(found)))
+                flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(cnt[-1].sum())))
+            return {"ids": (np.concatenate(flat), np.concatenate(cnt))}
+
+        return PieceCache(learn)
 
-        _ENCODERS[path] = PieceCache(learn)
-    return _ENCODERS[path]
+    return only(("tokenizers", path), make)
 
 
 def encode_documents(column, encoder: PieceCache) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

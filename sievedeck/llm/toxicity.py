@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievedeck.llm.textvec import LOWER, span_hash, text_slices
+from sievedeck.llm.textvec import LOWER, only, span_hash, text_slices
 from sievedeck.session import ensure_importable
 
 BITS, LEAST_DOCS, DIM, FILTERS, WIDTHS = 23, 3, 8, 8, (1, 2, 3)
@@ -261,6 +261,7 @@ def _scored(df: DataFrame, model: ToxicityModel, text_col: str):
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
+        only(("toxicity", id(shared.value)))
         return pa.array(shared.value.score_texts(texts))
 
     return score(F.col(text_col))
