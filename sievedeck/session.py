@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _MADE: list[tuple[SparkSession, str]] = []
 
 
@@ -32,7 +33,13 @@ def build_session(app: str = "sievedeck", master: str | None = None, cores: int
 
 
 def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package when the repository is not installed."""
+    """Let Python workers import this package when the repository is not installed.
+
+    Also keeps Arrow batches of whole documents small, where the session has Spark's default of
+    10,000 rows: both the JVM and the worker hold a batch outside the heap.
+    """
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, "1000")
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
