@@ -64,5 +64,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: A word is repeated if one of the last 20 windows that start at or before it has an earlier start of the same words.
+SUBSTRINGS = r"""WITH t AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM t),
+win AS (SELECT doc_id, generate_subscripts(x, 1) AS p, unnest(x) AS said FROM (SELECT doc_id, list_transform(range(1, len(ws) - 18), lambda i: array_to_string(ws[i:i + 19], ' ')) AS x FROM t)),
+nth AS (SELECT doc_id, p, row_number() OVER (PARTITION BY said ORDER BY doc_id, p) AS n FROM win),
+c AS (SELECT w.doc_id, word, w.p, coalesce(w.p - max(CASE WHEN n > 1 THEN nth.p END) OVER (PARTITION BY w.doc_id ORDER BY w.p) <= 19, false) AS gone FROM w LEFT JOIN nth ON nth.doc_id = w.doc_id AND nth.p = w.p),
+k AS (SELECT doc_id, count(*) AS n_words, count_if(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT gone), '') AS kept FROM c GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)"""
+
+NEAR_DUPLICATES = r"""WITH RECURSIVE t AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS gram FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS v, doc_id AS r FROM t UNION SELECT v, b FROM reach JOIN both_ways ON a = r),
+comp AS (SELECT v, min(r) AS c FROM reach GROUP BY v)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, t.doc_id = c AS kept FROM t JOIN comp ON v = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries whose whole rows it can express; the others rest on trained weights, tokenizers, own hashes or file forms."""
+    return {"op3_substring_dedup": SUBSTRINGS, "op7_minhash_near_dedup": NEAR_DUPLICATES}
