@@ -221,6 +221,7 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], epochs:
                 x -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
         now = ToxicityModel(known, p["E"][1:].copy(), [p[f"F{w}"].copy() for w in WIDTHS], [p[f"b{w}"].copy() for w in WIDTHS], p["v"].copy(), float(p["c"][0]))
         logit = now.logits(hashed, doc, len(aside))
+        now._tables = None  # of each epoch's model they would add up in the driver
         now.scale, now.shift = _platt(logit, label[aside])
         apart = (2 * label[aside] - 1) * (now.scale * logit + now.shift)
         loss = np.logaddexp(0, -apart).mean()
