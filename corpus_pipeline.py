@@ -1,6 +1,6 @@
 """A corpus pipeline of five stages, each of which calls one operator of sievedeck.llm.
 
-Toxic documents go; repeated chunks of lines go (and documents of which nothing is left);
+Toxic documents go; repeated passages of lines go (and documents of which nothing is left);
 one document of each near-duplicate group stays; repeated passages go; what is left is packed.
 All but the last return the columns of documents. A text that a stage changes gets its new n_chars.
 """
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = lines.line_dedup(docs, drop_emptied=True)
+    left = lines.line_dedup(docs, drop_emptied=True, passages=True)
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -7,6 +7,12 @@ passage are cut alike wherever they stand. Chunks of several lines that occur
 again, in a document of a greater id or later in the same one, are removed; the
 grouping that finds them has the chunk's bytes in its key.
 
+With ``passages`` every two neighbouring lines are a chunk, at every offset, so a repeated passage
+of two lines or more goes whole wherever it stands: a line goes if it and a neighbour also stand
+together in a document of a lesser id or earlier in the same one, judged on the input. Pairs
+are keyed by their lines' hashes; lines are grouped with their bytes, and pairs with a line whose
+hash has other bytes as well are left out. The queries and the pipeline use this.
+
 Defined results: null texts stay null and have no lines; an empty text has one
 empty line; documents of one line are left alone; rows that share an id count as one
 place, of each repeats inside go; rows with a null id are neither looked up nor changed;
@@ -74,6 +80,10 @@ def _keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.nda
     return [span_hash(data, starts, ends, lane).view(np.int64) for lane in (0, 1)]
 
 
+def _several_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").contains("\n"))
+
+
 def _chunk_rows(df: DataFrame, id_col: str, text_col: str, bytes_too: bool) -> DataFrame:
     """h1, h2, doc_id (and the bytes) of the distinct chunks of several lines of each document."""
 
@@ -95,8 +105,7 @@ def _chunk_rows(df: DataFrame, id_col: str, text_col: str, bytes_too: bool) -> D
                 yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc_id", "chunk"][: len(columns)])
 
     kind = df.schema[id_col].dataType.simpleString()
-    source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").contains("\n"))
-    return source.mapInArrow(run, f"h1 long, h2 long, doc_id {kind}" + ", chunk binary" * bytes_too)
+    return _several_lines(df, id_col, text_col).mapInArrow(run, f"h1 long, h2 long, doc_id {kind}" + ", chunk binary" * bytes_too)
 
 
 def repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -131,15 +140,93 @@ def _strip(data: np.ndarray, offs: np.ndarray, gone: list) -> tuple[list[bytes],
     return [b"\n".join(x) for x in kept], total, removed
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_text: str = "text", drop_emptied: bool = False) -> DataFrame:
+def _pairs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts, ends, documents and two hashes (64 and 32 bits) of all lines, and those that have a next line."""
+    starts, ends, doc = line_spans(data, offs)
+    h1, h2 = span_hash(data, starts, ends), span_hash(data, starts, ends, 1) >> np.uint64(32)
+    return starts, ends, doc, h1, h2, np.flatnonzero(doc[1:] == doc[:-1])
+
+
+def _pair_keys(h1: np.ndarray, h2: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Three values that hold all four hashes of a pair's lines."""
+    return [x.view(np.int64) for x in (h1[at], h1[at + 1], (h2[at] << np.uint64(32)) | h2[at + 1])]
+
+
+def _pair_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """a, b, c (the key), doc_id of all pairs of neighbouring lines."""
+
+    def run(batches):
+        only(("lines",))
+        for batch in batches:
+            ids = batch.column(0)
+            for row, _, data, offs in text_slices(batch.column(1)):
+                _, _, doc, h1, h2, at = _pairs(data, offs)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, _pair_keys(h1, h2, at)), ids.take(pa.array(doc[at] + row))], names=["a", "b", "c", "doc_id"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return _several_lines(df, id_col, text_col).mapInArrow(run, f"a long, b long, c long, doc_id {kind}")
+
+
+def _line_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """h1, h2 and bytes of the lines; of equal lines in a slice one."""
+
+    def run(batches):
+        only(("lines",))
+        for batch in batches:
+            for _, _, data, offs in text_slices(batch.column(1)):
+                starts, ends, _, h1, h2, _ = _pairs(data, offs)
+                raw = data.tobytes()
+                found = list({raw[a:b]: k for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True))}.items())
+                at = np.array([k for _, k in found], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h1[at].view(np.int64)), pa.array(h2[at].view(np.int64)), pa.array([x for x, _ in found], pa.binary())], names=["h1", "h2", "line"])
+
+    return _several_lines(df, id_col, text_col).mapInArrow(run, "h1 long, h2 long, line binary")
+
+
+def repeated_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b, c, first_doc of the pairs of neighbouring lines that several documents have."""
+    ensure_importable(df.sparkSession)
+    mixed = staged(_line_rows(df, id_col, text_col).distinct().groupBy("h1", "h2").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h1", "h2"), "mixed")
+    found = _pair_rows(df, id_col, text_col).groupBy("a", "b", "c").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
+    upper, lower = F.shiftrightunsigned("c", 32), F.col("c").bitwiseAND(F.lit(0xFFFFFFFF))
+    for line, rest in (("a", upper), ("b", lower)):
+        found = found.join(mixed, (F.col(line) == F.col("h1")) & (rest == F.col("h2")), "left_anti")
+    return found
+
+
+def _strip_pairs(data: np.ndarray, offs: np.ndarray, gone: list) -> tuple[list[bytes], list[int], list[int]]:
+    """As ``_strip``, without the lines of the pairs in ``gone`` and of pairs that repeat inside."""
+    starts, ends, doc, h1, h2, at = _pairs(data, offs)
+    raw, away = data.tobytes(), np.zeros(len(starts), bool)
+    starts, ends, before, seen = starts.tolist(), ends.tolist(), -1, set()
+    for k, d, *key in zip(at.tolist(), doc[at].tolist(), *(x.tolist() for x in _pair_keys(h1, h2, at)), strict=True):
+        if d != before:
+            before, seen = d, set()
+        said = raw[starts[k] : ends[k + 1]]
+        if said in seen or tuple(key) in gone[d]:
+            away[k : k + 2] = True
+        seen.add(said)
+    kept: list[list[bytes]] = [[] for _ in gone]
+    for k in np.flatnonzero(~away).tolist():
+        kept[doc[k]].append(raw[starts[k] : ends[k]])
+    return [b"\n".join(x) for x in kept], np.bincount(doc, minlength=len(gone)).tolist(), np.bincount(doc[away], minlength=len(gone)).tolist()
+
+
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_text: str = "text", drop_emptied: bool = False, passages: bool = False) -> DataFrame:
     """Replace texts by what is left of them and add n_lines and n_removed.
 
-    ``drop_emptied`` leaves out documents of which nothing is left.
+    ``drop_emptied`` leaves out documents of which nothing is left; ``passages``
+    takes every two neighbouring lines for a chunk.
     """
-    repeated = staged(repeated_chunks(df, id_col, text_col), "chunks")
+    if passages:
+        keys, strip_slice, rows = ("a", "b", "c"), _strip_pairs, _pair_rows(df, id_col, text_col)
+        repeated = staged(repeated_pairs(df, id_col, text_col), "pairs")
+    else:
+        keys, strip_slice, rows = ("h1", "h2"), _strip, _chunk_rows(df, id_col, text_col, False)
+        repeated = staged(repeated_chunks(df, id_col, text_col), "chunks")
     gone = (
-        _chunk_rows(df, id_col, text_col, False).join(repeated, ["h1", "h2"]).where("doc_id > first_doc")
-        .groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("h1", "h2")).alias("__gone"))
+        rows.join(repeated, list(keys)).where("doc_id > first_doc")
+        .groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct(*keys)).alias("__gone"))
     )
 
     @F.pandas_udf("struct<text: string, n_lines: long, n_removed: long>")
@@ -147,9 +234,9 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ou
         import pandas as pd
 
         out: tuple[list, list, list] = ([], [], [])
-        sets = [frozenset() if x is None else frozenset((r["h1"], r["h2"]) for r in x) for x in lists]
+        sets = [frozenset() if x is None else frozenset(tuple(r[k] for k in keys) for r in x) for x in lists]
         for row, stop, data, offs in text_slices(pa.array(texts, pa.string())):
-            for column, values in zip(out, _strip(data, offs, sets[row:stop]), strict=True):
+            for column, values in zip(out, strip_slice(data, offs, sets[row:stop]), strict=True):
                 column += values
         null = texts.isna().tolist()
         return pd.DataFrame({"text": [None if z else t.decode() for t, z in zip(out[0], null, strict=True)], "n_lines": [0 if z else k for k, z in zip(out[1], null, strict=True)], "n_removed": out[2]})

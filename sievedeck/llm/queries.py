@@ -32,7 +32,7 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = lines.line_dedup(_documents(spark, sf_dir).select("doc_id", "text"))
+    made = lines.line_dedup(_documents(spark, sf_dir).select("doc_id", "text"), passages=True)
     return made.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 

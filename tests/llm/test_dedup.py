@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from sievedeck.llm import lines, neardup, substrings, textvec
+from sievedeck.llm import lines, neardup, queries, substrings, textvec
 from tests.llm.conftest import odd_rows, table
 
 
@@ -109,6 +109,36 @@ def test_lines_against_brute_force(spark, empty):
     assert lines.line_dedup(empty).collect() == []
 
 
+def slow_passages(rows):
+    """A line goes if it stands in two neighbouring lines that stand together earlier too."""
+    seen, out = set(), {}
+    for i, text in sorted((x for x in rows if x[0] is not None), key=lambda x: x[0]):
+        ls = (text or "").split("\n")
+        gone = [False] * len(ls)
+        for k in range(len(ls) - 1):
+            if (ls[k], ls[k + 1]) in seen:
+                gone[k : k + 2] = [True] * 2
+            seen.add((ls[k], ls[k + 1]))
+        out[i] = (0, 0, None) if text is None else (len(ls), sum(gone), "\n".join(x for x, g in zip(ls, gone, strict=True) if not g))
+    return out
+
+
+def test_line_query_takes_whole_passages(spark, tmp_path):
+    between = [(100 + k, "\n".join([f"before {k}", *(f"line {n} of passage {k // 2}" for n in range(2 + k // 2)), f"after {k}"])) for k in range(20)]
+    for n, rows in enumerate((copies(), unique_ids(odd_rows()), copies(4, 90), between)):
+        table(spark, rows).write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in queries.op5_line_dedup(spark, f"{tmp_path}/{n}").collect()}
+        want = slow_passages(rows)
+        assert got == {i: (a, b, None if c is None else hashlib.sha256(c.encode()).hexdigest()) for i, (a, b, c) in want.items()}
+    assert [got[100 + k][1] for k in range(20)] == [0 if k % 2 == 0 else 2 + k // 2 for k in range(20)]
+
+
+def test_passages_of_odd_rows(odd, empty):
+    out = lines.line_dedup(odd, passages=True).collect()
+    assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(r["doc_id"] for r in odd.collect())
+    assert lines.line_dedup(empty, passages=True).collect() == []
+
+
 def test_lines_keep_columns_and_odd_rows(odd):
     out = lines.line_dedup(odd, drop_emptied=True)
     assert set(out.columns) == {*odd.columns, "n_lines", "n_removed"}
