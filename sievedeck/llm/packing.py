@@ -36,12 +36,12 @@ def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
 
 
-def document_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def document_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, added_tokens: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
     ensure_importable(df.sparkSession)
 
     def run(batches):
-        encoder = library_encoder(tokenizer)
+        encoder = library_encoder(tokenizer, added_tokens)
         for batch in batches:
             rows, out = batch.column(0), ([], [], [], [], [])
             for row, ids, offs in encode_documents(batch.column(1), encoder):
@@ -178,6 +178,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_salt: int = 20_00
     return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
 
 
-def best_fit_packing(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Pack the documents of ``df``; one row a piece with its sequence and place."""
-    return pack(staged(document_pieces(df, tokenizer, id_col, text_col, capacity, end_id), "pieces"), capacity)
+def best_fit_packing(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, added_tokens: bool = False) -> DataFrame:
+    """Pack the documents of ``df``; one row a piece with its sequence and place.
+
+    ``added_tokens`` gives the strings of added tokens in texts their ids (the library's default).
+    """
+    return pack(staged(document_pieces(df, tokenizer, id_col, text_col, capacity, end_id, added_tokens), "pieces"), capacity)

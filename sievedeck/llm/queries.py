@@ -20,7 +20,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit_packing(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.best_fit_packing(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenstore.write_token_store(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).statistics()
+    return tokenstore.write_token_store(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), added_tokens=True).statistics()
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

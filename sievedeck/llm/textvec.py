@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 from collections.abc import Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -158,12 +160,25 @@ _LATIN[0x80:0xC0] = True
 _LATIN[[0x97, 0xB7]] = False
 
 
-def tokenizer_pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def added_spans(data: np.ndarray, offs: np.ndarray, added: re.Pattern | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the strings of added tokens, each within its document."""
+    raw, spans = data.tobytes(), []
+    if added is not None and added.search(raw):
+        for a, b in zip(offs.tolist(), offs[1:].tolist(), strict=False):
+            spans += [m.span() for m in added.finditer(raw, a, b)]
+    spans = np.array(spans, np.int64).reshape(-1, 2)
+    return spans[:, 0], spans[:, 1]
+
+
+def tokenizer_pieces(data: np.ndarray, offs: np.ndarray, added: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cut texts where no pre-tokenizer match can cross: before the last white
     space of a run that a non-space follows, and between a letter and an ASCII
     mark. Encoding piece by piece then equals encoding the text, for patterns
-    that take one space with the next word and keep letters and marks apart."""
+    that take one space with the next word and keep letters and marks apart. The
+    string of an added token is a piece, and texts begin and end beside it, as in the library."""
     n = len(data)
+    token, token_end = added_spans(data, offs, added)
+    texts, offs = offs, np.unique(np.concatenate([offs, token, token_end])) if len(token) else offs
     cut = np.zeros(n, bool)
     if n:
         cut[:-1] = SPACE[data[:-1]] & _SOLID[data[1:]]
@@ -172,10 +187,16 @@ def tokenizer_pieces(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np
         mark = _MARK[data]
         cut[1:] |= mark[1:] & _LETTER[data[:-1]]
         cut[2:] |= mark[2:] & _LATIN[data[1:-1]] & (data[:-2] == 0xC3)
+        for a, b in zip(token.tolist(), token_end.tolist(), strict=True):
+            cut[a:b] = False
         cut[offs[:-1][offs[:-1] < offs[1:]]] = True
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], n)
-    return starts, ends, np.searchsorted(offs, starts, "right") - 1
+    return starts, ends, np.searchsorted(texts, starts, "right") - 1
+
+
+def whole_texts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return offs[:-1], offs[1:], np.arange(len(offs) - 1)
 
 
 class PieceCache:
@@ -187,8 +208,8 @@ class PieceCache:
     dropped and learnt again.
     """
 
-    def __init__(self, learn, max_entries: int = 800_000):
-        self.learn, self.max_entries = learn, max_entries
+    def __init__(self, learn, max_entries: int = 800_000, pieces=tokenizer_pieces):
+        self.learn, self.max_entries, self.pieces = learn, max_entries, pieces
         self._reset()
 
     def _reset(self) -> None:
@@ -228,7 +249,7 @@ class PieceCache:
     def documents(self, column, kinds: tuple[str, ...]) -> Iterator[tuple[int, dict[str, tuple[np.ndarray, np.ndarray]]]]:
         """Yield (first row, {kind: (values of a slice of rows, offsets of the rows)})."""
         for row, stop, data, offs in text_slices(column):
-            starts, ends, doc = tokenizer_pieces(data, offs)
+            starts, ends, doc = self.pieces(data, offs)
             rows, made = self.rows(data, starts, ends), {}
             for kind in kinds:
                 flat, cnt = self.take(kind, rows)
@@ -249,8 +270,12 @@ def only(key: tuple, make=lambda: None):
     return _HELD[key]
 
 
-def library_encoder(path: str) -> PieceCache:
-    """The worker's cache of ids for a tokenizers file; special strings in texts are ordinary text."""
+def library_encoder(path: str, added_tokens: bool = False) -> PieceCache:
+    """The worker's cache of ids for a tokenizers file.
+
+    With ``added_tokens`` the strings of added tokens in texts become their ids, as the library
+    does by default; otherwise they are ordinary text.
+    """
 
     def make() -> PieceCache:
         import os
@@ -259,7 +284,13 @@ def library_encoder(path: str) -> PieceCache:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
+        tok.encode_special_tokens = not added_tokens
+        tokens = tok.get_added_tokens_decoder().values() if added_tokens else ()
+        pieces = tokenizer_pieces
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in tokens):  # these depend on the text around them
+            pieces = whole_texts
+        elif tokens:
+            pieces = partial(tokenizer_pieces, added=re.compile(b"|".join(re.escape(x) for x in sorted((t.content.encode() for t in tokens), key=len, reverse=True))))
 
         def learn(texts: list[str]) -> dict:
             flat, cnt = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
@@ -269,9 +300,9 @@ def library_encoder(path: str) -> PieceCache:
                 flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(cnt[-1].sum())))
             return {"ids": (np.concatenate(flat), np.concatenate(cnt))}
 
-        return PieceCache(learn)
+        return PieceCache(learn, pieces=pieces)
 
-    return only(("tokenizers", path), make)
+    return only(("tokenizers", path, added_tokens), make)
 
 
 def encode_documents(column, encoder: PieceCache) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

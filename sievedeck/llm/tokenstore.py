@@ -172,15 +172,18 @@ class TokenStore:
         return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def _encoded(batch, tokenizer: str, end_id: int, width: int):
+def _encoded(batch, tokenizer: str, end_id: int, width: int, added_tokens: bool):
     """Serialized ids of every document of a batch, in order."""
-    for _, ids, offs in encode_documents(batch, library_encoder(tokenizer)):
+    for _, ids, offs in encode_documents(batch, library_encoder(tokenizer, added_tokens)):
         for k in range(len(offs) - 1):
             yield np.append(ids[offs[k] : offs[k + 1]], np.uint32(end_id)).astype(f"<u{width}").tobytes()
 
 
-def write_token_store(df: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, sample: int = 1000, rows_per_shard: int = 20_000) -> TokenStore:
-    """Encode, compress and write all documents of ``df`` in ascending order of id."""
+def write_token_store(df: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, sample: int = 1000, rows_per_shard: int = 20_000, added_tokens: bool = False) -> TokenStore:
+    """Encode, compress and write all documents of ``df`` in ascending order of id.
+
+    ``added_tokens`` gives the strings of added tokens in texts their ids (the library's default).
+    """
     import zstandard
     from tokenizers import Tokenizer
 
@@ -194,7 +197,7 @@ def write_token_store(df: DataFrame, tokenizer: str, folder: str | None = None,
 
     def serialize(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x[: SAMPLE_IDS * width] for x in _encoded(batch.column(0), tokenizer, end_id, width)], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[: SAMPLE_IDS * width] for x in _encoded(batch.column(0), tokenizer, end_id, width, added_tokens)], pa.binary())], names=["ids"])
 
     order = F.xxhash64("doc_id")
     last = docs.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]
@@ -208,7 +211,7 @@ def write_token_store(df: DataFrame, tokenizer: str, folder: str | None = None,
     def compress(batches):
         press = zstandard.ZstdCompressor(level=3, dict_data=_zstd_dictionary(dictionary))
         for batch in batches:
-            made = [(len(x) // width, press.compress(x)) for x in _encoded(batch.column(2), tokenizer, end_id, width)]
+            made = [(len(x) // width, press.compress(x)) for x in _encoded(batch.column(2), tokenizer, end_id, width, added_tokens)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for n, _ in made], pa.int64()), pa.array([x for _, x in made], pa.binary())], names=["bucket", "doc_id", "n_tokens", "frame"])
 
     def write(batches):

@@ -11,7 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from sievedeck.llm import bpe, packing, textvec, tokenstore
+from sievedeck.llm import bpe, packing, queries, textvec, tokenstore
+from tests.llm.conftest import table
 
 BYTE, WORD, RANKS = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_50k.tiktoken"))
 
@@ -41,6 +42,35 @@ def test_pieces_encode_as_whole_texts(path, texts):
     assert got == [library_ids(path, t) for t in texts]
 
 
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|endof", "text|>", "<|ENDOFTEXT|>", " ", "\n", "a", "é", "|", "1"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(SPECIAL), max_size=9).map("".join), min_size=1, max_size=5))
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_added_tokens_as_in_the_plain_library_call(path, texts):
+    import pyarrow as pa
+
+    plain = plain_library(path)
+    got = [ids[offs[k] : offs[k + 1]].tolist() for _, ids, offs in textvec.encode_documents(pa.array(texts), textvec.library_encoder(path, True)) for k in range(len(offs) - 1)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@functools.lru_cache
+def plain_library(path):
+    return Tokenizer.from_file(path)
+
+
+def test_token_queries_give_added_tokens_their_ids(spark, tmp_path):
+    texts = ["abc <|endoftext|> def", "a  <|startoftext|>b", "<|endof", "text|> x", "plain"]
+    table(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    packed = {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in queries.op2_best_fit_packing(spark, str(tmp_path)).collect()}
+    stored = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in queries.op4_token_store(spark, str(tmp_path)).collect()}
+    for path, got in ((BYTE, packed), (WORD, stored)):
+        want = [plain_library(path).encode(t, add_special_tokens=False).ids + [2] for t in texts]
+        assert got == {k: (len(ids), crc(ids)) for k, ids in enumerate(want)}
+
+
 def test_packing(odd):
     rows = packing.best_fit_packing(odd, BYTE, capacity=64).collect()
     docs = [(r["doc_id"], library_ids(BYTE, r["text"]) + [2]) for r in odd.collect()]
