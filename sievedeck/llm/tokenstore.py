@@ -12,8 +12,8 @@ of one range of ids, ascending. A shard is
 so one document costs a read of the index and of its frame. Shards are written
 under a temporary name and moved, so a repeated task leaves the same files.
 
-The dictionary is fitted on the ``sample`` documents with the least id hashes, at
-most ``SAMPLE_IDS`` ids of each; every document is written with it.
+The dictionary is fitted on the ``sample`` documents with the least id hashes, of longer ones
+a block of ``SAMPLE_IDS`` ids from anywhere in them; every document is written with it.
 
 Defined results: null or empty texts are the end id alone; rows that share an id
 are all kept, side by side; null ids come first; an empty table gives an empty store
@@ -179,6 +179,13 @@ def _encoded(batch, tokenizer: str, end_id: int, width: int, added_tokens: bool)
             yield np.append(ids[offs[k] : offs[k + 1]], np.uint32(end_id)).astype(f"<u{width}").tobytes()
 
 
+def sample_block(raw: bytes, width: int) -> bytes:
+    """``SAMPLE_IDS`` ids in a row of a document, from a place its own bytes draw."""
+    spare = len(raw) // width - SAMPLE_IDS
+    at = zlib.crc32(raw) % (spare + 1) * width if spare > 0 else 0
+    return raw[at : at + SAMPLE_IDS * width]
+
+
 def write_token_store(df: DataFrame, tokenizer: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, sample: int = 1000, rows_per_shard: int = 20_000, added_tokens: bool = False) -> TokenStore:
     """Encode, compress and write all documents of ``df`` in ascending order of id.
 
@@ -197,7 +204,7 @@ def write_token_store(df: DataFrame, tokenizer: str, folder: str | None = None,
 
     def serialize(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x[: SAMPLE_IDS * width] for x in _encoded(batch.column(0), tokenizer, end_id, width, added_tokens)], pa.binary())], names=["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([sample_block(x, width) for x in _encoded(batch.column(0), tokenizer, end_id, width, added_tokens)], pa.binary())], names=["ids"])
 
     order = F.xxhash64("doc_id")
     last = docs.select(order.alias("h")).orderBy("h").limit(sample).agg(F.max("h")).first()[0]

@@ -123,6 +123,17 @@ def test_token_store(odd, empty, tmp_path):
     assert tokenstore.write_token_store(empty, WORD, folder=str(tmp_path / "e")).statistics(4).collect() == []
 
 
+def test_dictionary_sample_comes_from_anywhere():
+    n, places = tokenstore.SAMPLE_IDS, []
+    for k in range(40):
+        ids = np.random.default_rng(k).permutation(3 * n).astype("<u2")
+        got = np.frombuffer(tokenstore.sample_block(ids.tobytes(), 2), "<u2")
+        places.append(ids.tolist().index(int(got[0])))
+        assert got.tolist() == ids[places[-1] : places[-1] + n].tolist()
+    assert min(places) < n and max(places) > n
+    assert tokenstore.sample_block(b"abcd", 2) == b"abcd"
+
+
 def test_bpe_round_trip(odd, empty):
     ranks = bpe.read_ranks(RANKS)
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
