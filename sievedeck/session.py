@@ -95,6 +95,18 @@ def forget(spark: SparkSession, path: str) -> None:
     _MADE.append((spark, path))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of ``df`` has them (names of columns ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -104,8 +116,8 @@ def _clean() -> None:
     for spark, path in _MADE:
         try:
             _delete(spark, path)
-        except Exception:  # the session may be gone already
-            return
+        except Exception:  # gone already, or the session is
+            continue
 
 
 atexit.register(_clean)
