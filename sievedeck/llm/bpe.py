@@ -1,12 +1,19 @@
 """Byte-level BPE by recursive DuckDB queries in each partition.
 
-Texts are cut into the pre-tokenizer's matches; each distinct match is a word of
-token-position rows (word, position, token), at first one row a byte. A recursive
-query joins neighbouring rows with the merge table and contracts each word's
-leftmost pair of least rank until no pair merges. Decoding joins rows with the
-vocabulary and puts the bytes together by an ordered aggregation. Words run in
-blocks of bounded size and a query takes at most ``STEPS`` contractions, going on
-from where it stopped, so memory is bounded for words of any length.
+Texts are cut into the pre-tokenizer's matches; each distinct match is a word whose
+token-position rows, at first one a byte, a recursive query joins with the merge table, to
+contract each word's leftmost pair of least rank until no pair merges. A word's rows are kept as a
+list between steps, so a step costs a hash join and a minimum, words without a pair leave the
+recursion, and only the last state of each word is held. Decoding joins rows with the
+vocabulary and puts the bytes together by an ordered aggregation.
+
+Words of more than ``SEGMENT`` bytes are contracted by segments, so that the work grows with their
+length, not with its square. Between two neighbouring segments the encoding of the whole equals
+both encodings side by side if the last token of the one and the first of the other, encoded together,
+give these two tokens again: merges left and right of a boundary go on independently
+until a pair across it is the least, and whether one ever is hangs on the two tokens next to it alone. Where
+the test fails, tokens around the boundary are encoded anew as one segment, with its own boundaries
+to test, twice as many in each round.
 
 Defined results: null and empty texts have no ids and decode to nothing; equal
 texts have equal ids; an empty table gives an empty result; only the named
@@ -17,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -24,28 +32,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievedeck.llm.textvec import PieceCache, only
+from sievedeck.llm.textvec import SLICE_BYTES, only
 from sievedeck.session import ensure_importable
 
-STEPS, BLOCK_BYTES = 48, 400_000
-
-_ENCODE = f"""
-WITH RECURSIVE state(step, word, pos, token) AS (
-  SELECT 0, word, pos, token FROM starting
-  UNION ALL
-  SELECT step + 1, word, pos, CASE WHEN pos = best % 4294967296 THEN (best // 4294967296)::INT ELSE token END
-  FROM (
-    SELECT *, lag(pos) OVER (PARTITION BY word ORDER BY pos) AS before
-    FROM (
-      SELECT s.*, min(m.merged::BIGINT * 4294967296 + s.pos) OVER (PARTITION BY s.word) AS best
-      FROM (SELECT *, lead(token) OVER (PARTITION BY word ORDER BY pos) AS following FROM state WHERE step < {STEPS}) s
-      LEFT JOIN merges m ON s.token = m.first AND s.following = m.second)
-    WHERE best IS NOT NULL)
-  WHERE before IS NULL OR before <> best % 4294967296
+#: Bytes of a segment of a long word; bytes of the words of a query; words a worker's cache holds (twice).
+SEGMENT, BLOCK_BYTES, KNOWN_WORDS = 64, 200_000, 150_000
+
+_ENCODE = """
+WITH RECURSIVE state(word, tokens) USING KEY (word) AS (
+  SELECT word, tokens FROM starting
+  UNION
+  SELECT word, list_concat(list_append(tokens[:best % 4294967296 - 1], (best // 4294967296)::INT), tokens[best % 4294967296 + 2:])
+  FROM state JOIN (
+    SELECT word, min(merged * 4294967296 + pos) AS best
+    FROM (SELECT word, unnest(tokens)::BIGINT * 4294967296 + unnest(tokens[2:]) AS pair, generate_subscripts(tokens, 1) AS pos FROM state)
+    JOIN merges USING (pair) GROUP BY word
+  ) USING (word)
 )
-SELECT word, max(step) AS steps, list(token ORDER BY pos) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY word) AS last FROM state)
-WHERE step = last GROUP BY word ORDER BY word
+SELECT tokens FROM state ORDER BY word
 """
 _DECODE = "SELECT seq, string_agg(hex, '' ORDER BY pos) AS hex FROM given LEFT JOIN vocabulary USING (token) GROUP BY seq ORDER BY seq"
 
@@ -57,17 +61,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_table(ranks: dict[bytes, int]) -> pa.Table:
-    """first, second, merged: every pair of tokens whose bytes together are a token."""
+    """pair (first * 2**32 + second) and merged: every pair of tokens whose bytes together are a token."""
     rows = [
-        (a, b, merged)
+        ((a << 32) + b, merged)
         for token, merged in ranks.items() for i in range(1, len(token))
         if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None
     ]
-    return pa.table({name: pa.array([r[k] for r in rows], pa.int32()) for k, name in enumerate(("first", "second", "merged"))})
+    return pa.table({name: pa.array([r[k] for r in rows], pa.int64()) for k, name in enumerate(("pair", "merged"))})
 
 
 class DuckBpe:
-    """The merge table and vocabulary in one in-memory DuckDB of a worker."""
+    """The merge table and vocabulary in one in-memory DuckDB of a worker, and the words it met lately."""
 
     def __init__(self, ranks_path: str, pattern: str):
         import duckdb
@@ -76,13 +80,17 @@ class DuckBpe:
         ranks = read_ranks(ranks_path)
         self.db = duckdb.connect()
         self.db.execute("SET threads = 1")
+        self.db.execute("SET memory_limit = '512MB'")
         self.db.register("given_merges", merge_table(ranks))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given_merges")
         self.db.register("given_vocabulary", pa.table({"token": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given_vocabulary")
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.said = {i: t for t, i in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.cache = PieceCache(self._learn)
+        # What a word's ids are in decimal (a space after each), and the bytes they decode to.
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.before: dict[str, tuple[bytes, bytes]] = {}
 
     def _query(self, name: str, table: pa.Table, sql: str) -> pa.Table:
         self.db.register(name, table)
@@ -90,32 +98,78 @@ class DuckBpe:
         self.db.unregister(name)
         return out
 
-    def _block(self, tokens: list[np.ndarray]) -> list[list[int]]:
-        """Contract words given as arrays of tokens."""
-        out: list = [None] * len(tokens)
-        todo = np.arange(len(tokens))
-        while len(todo):
-            lengths = np.array([len(tokens[k]) for k in todo])
-            word = np.repeat(np.arange(len(todo), dtype=np.int32), lengths)
-            pos = np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            made = self._query("starting", pa.table({"word": word, "pos": pos.astype(np.int32), "token": np.concatenate([tokens[k] for k in todo])}), _ENCODE)
-            steps, ids = made["steps"].to_numpy(), made["ids"].to_pylist()
-            for k, found in zip(todo.tolist(), ids, strict=True):
-                out[k] = found
-            todo = todo[steps == STEPS]
-            tokens = dict(zip(todo.tolist(), (np.array(out[k], np.int32) for k in todo.tolist()), strict=True))
+    def _contract(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words (none empty), a block a query."""
+        out: list[list[int]] = []
+        at = 0
+        while at < len(words):
+            stop, size = at, 0
+            while stop < len(words) and (stop == at or size + len(words[stop]) <= BLOCK_BYTES):
+                size += len(words[stop])
+                stop += 1
+            tokens = pa.array(self.bytes[np.frombuffer(b"".join(words[at:stop]), np.uint8)])
+            offsets = pa.array(np.cumsum([0, *map(len, words[at:stop])]), pa.int32())
+            out += self._query("starting", pa.table({"word": np.arange(stop - at, dtype=np.int32), "tokens": pa.ListArray.from_arrays(offsets, tokens)}), _ENCODE)["tokens"].to_pylist()
+            at = stop
         return out
 
+    def _joined(self, tokens: list[int]) -> bytes:
+        return b"".join(map(self.said.__getitem__, tokens))
+
+    def _by_segments(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of long words; each has its tokens so far and its untested boundaries with the tokens to take on either side."""
+        cut = [[w[a : a + SEGMENT] for a in range(0, len(w), SEGMENT)] for w in words]
+        made = iter(self._contract(list(chain.from_iterable(cut))))
+        tokens: list[list[int]] = []
+        untested: list[dict[int, int]] = []
+        for parts in cut:
+            own, edges = [], {}
+            for _ in parts:
+                if own:
+                    edges[len(own)] = 4
+                own += next(made)
+            tokens.append(own)
+            untested.append(edges)
+        holds: dict[tuple[int, int], bool] = {}
+        while any(untested):
+            new = {(t[b - 1], t[b]) for t, edges in zip(tokens, untested, strict=True) for b in edges} - holds.keys()
+            pairs = sorted(new)
+            for pair, ids in zip(pairs, self._contract([self._joined(list(p)) for p in pairs]), strict=True):
+                holds[pair] = ids == list(pair)
+            windows: list[tuple[int, int, int, int]] = []  # word, first and end token, and reach of the next round
+            for k, (t, edges) in enumerate(zip(tokens, untested, strict=True)):
+                for b, reach in sorted(edges.items()):
+                    if holds[t[b - 1], t[b]]:
+                        continue
+                    a, z = max(0, b - reach), min(len(t), b + reach)
+                    if windows and windows[-1][0] == k and windows[-1][2] >= a:
+                        a, reach = windows[-1][1], max(reach, windows[-1][3] // 2)
+                        z = max(z, windows.pop()[2])
+                    windows.append((k, a, z, 2 * reach))
+            again = self._contract([self._joined(tokens[k][a:z]) for k, a, z, _ in windows])
+            untested = [{} for _ in words]
+            pieces: dict[int, list[int]] = {}
+            done: dict[int, int] = {}
+            for (k, a, z, reach), ids in zip(windows, again, strict=True):
+                own = pieces.setdefault(k, [])
+                own += tokens[k][done.get(k, 0) : a]
+                if a:
+                    untested[k][len(own)] = reach
+                own += ids
+                if z < len(tokens[k]):
+                    untested[k][len(own)] = reach
+                done[k] = z
+            for k, own in pieces.items():
+                tokens[k] = own + tokens[k][done[k] :]
+        return tokens
+
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        out: list[list[int]] = []
-        block, size = [], 0
-        for w in words:
-            if block and size + len(w) > BLOCK_BYTES:
-                out += self._block(block)
-                block, size = [], 0
-            block.append(self.bytes[np.frombuffer(w, np.uint8)])
-            size += len(w)
-        return out + (self._block(block) if block else [])
+        """Ids of words, none of them empty."""
+        out: list = [None] * len(words)
+        for of, own in ((self._contract, [k for k, w in enumerate(words) if len(w) <= SEGMENT]), (self._by_segments, [k for k, w in enumerate(words) if len(w) > SEGMENT])):
+            for k, ids in zip(own, of([words[k] for k in own]), strict=True):
+                out[k] = ids
+        return out
 
     def decode(self, sequences: list[list[int]]) -> list[bytes]:
         """The bytes of each sequence of ids; an empty one has none."""
@@ -131,23 +185,31 @@ class DuckBpe:
             out[k] = bytes.fromhex(x)
         return out
 
-    def _learn(self, texts: list[str]) -> dict:
-        matches = [self.pattern.findall(t) for t in texts]
-        number: dict[str, int] = {}
-        for m in chain.from_iterable(matches):
-            number.setdefault(m, len(number))
-        ids = self.encode_words([w.encode() for w in number])
-        raw: list[bytes] = []
-        for a in range(0, len(ids), 50_000):
-            raw += self.decode(ids[a : a + 50_000])
-        decimal = ["".join(f"{i} " for i in x).encode() for x in ids]
-        rows = [[number[m] for m in ms] for ms in matches]
-        n = np.fromiter((sum(len(ids[k]) for k in r) for r in rows), np.int32, len(rows))
-        out = {"ids": (np.fromiter((i for r in rows for k in r for i in ids[k]), np.uint32, int(n.sum())), n)}
-        for kind, parts in (("bytes", raw), ("decimal", decimal)):
-            joined = [b"".join([parts[k] for k in r]) for r in rows]
-            out[kind] = np.frombuffer(b"".join(joined), np.uint8), np.fromiter(map(len, joined), np.int32, len(joined))
-        return out
+    def _learn(self, words: list[str]) -> None:
+        old = [w for w in words if w in self.before]
+        self.known.update(zip(old, map(self.before.pop, old), strict=True))
+        new = [w for w in words if w not in self.known]
+        ids = self.encode_words([w.encode() for w in new])
+        for a in range(0, len(new), 50_000):
+            for w, own, raw in zip(new[a : a + 50_000], ids[a : a + 50_000], self.decode(ids[a : a + 50_000]), strict=True):
+                self.known[w] = "".join(f"{i} " for i in own).encode(), raw
+
+    def documents(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
+        """For each text its ids in decimal, a space after each, and the bytes they decode to."""
+        at = 0
+        while at < len(texts):
+            stop, size, found = at, 0, []
+            while stop < len(texts) and (stop == at or size < SLICE_BYTES):
+                found.append(self.pattern.findall(texts[stop] or ""))
+                size += len(texts[stop] or "")
+                stop += 1
+            if len(self.known) > KNOWN_WORDS:  # the older words go but for those that are met again
+                self.before, self.known = self.known, {}
+            self._learn(sorted(set(chain.from_iterable(found)) - self.known.keys()))
+            for matches in found:
+                own = [self.known[m] for m in matches]
+                yield b"".join([x[0] for x in own]), b"".join([x[1] for x in own])
+            at = stop
 
 
 def worker_bpe(ranks_path: str, pattern: str) -> DuckBpe:
@@ -162,11 +224,7 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "te
     def encode(texts):
         import pandas as pd
 
-        bpe, out = worker_bpe(ranks_path, pattern), []
-        for _, made in bpe.cache.documents(pa.array(texts, pa.string()), ("ids",)):
-            ids, offs = made["ids"]
-            out += [ids[offs[k] : offs[k + 1]].astype(np.int32) for k in range(len(offs) - 1)]
-        return pd.Series(out)
+        return pd.Series([list(map(int, decimal.split())) for decimal, _ in worker_bpe(ranks_path, pattern).documents(list(texts))])
 
     return df.withColumn(out_col, encode(F.col(text_col)))
 
@@ -190,14 +248,11 @@ def bpe_round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
     def run(batches):
         for batch in batches:
-            bpe, out = worker_bpe(ranks_path, pattern), ([], [], [])
-            for _, made in bpe.cache.documents(batch.column(1), ("ids", "decimal", "bytes")):
-                n = np.diff(made["ids"][1])
-                for k in range(len(n)):
-                    (dec, d), (raw, r) = made["decimal"], made["bytes"]
-                    out[0].append(int(n[k]))
-                    out[1].append(hashlib.sha256(dec[d[k] : max(d[k], d[k + 1] - 1)]).hexdigest())
-                    out[2].append(hashlib.sha256(raw[r[k] : r[k + 1]]).hexdigest())
+            out = ([], [], [])
+            for decimal, raw in worker_bpe(ranks_path, pattern).documents(batch.column(1).to_pylist()):
+                out[0].append(decimal.count(b" "))
+                out[1].append(hashlib.sha256(decimal[:-1]).hexdigest())
+                out[2].append(hashlib.sha256(raw).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = df.schema[id_col].dataType.simpleString()

@@ -59,7 +59,7 @@ def chunk_lines(cut: list[bool]) -> list[int]:
 def chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends, documents and numbers of lines of all chunks."""
     starts, ends, doc = line_spans(data, offs)
-    h = span_hash(data, starts, ends)
+    h = span_hash(data, starts, ends)[0]
     rolled = np.zeros(len(h), np.uint64)
     rolled[WINDOW - 1 :] = sequence_hash(h, WINDOW)
     cut = rolled % np.uint64(MODULUS) == 0
@@ -77,7 +77,7 @@ def chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    return [span_hash(data, starts, ends, lane).view(np.int64) for lane in (0, 1)]
+    return [h.view(np.int64) for h in span_hash(data, starts, ends)]
 
 
 def _several_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -143,7 +143,8 @@ def _strip(data: np.ndarray, offs: np.ndarray, gone: list) -> tuple[list[bytes],
 def _pairs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     """Starts, ends, documents and two hashes (64 and 32 bits) of all lines, and those that have a next line."""
     starts, ends, doc = line_spans(data, offs)
-    h1, h2 = span_hash(data, starts, ends), span_hash(data, starts, ends, 1) >> np.uint64(32)
+    h1, h2 = span_hash(data, starts, ends)
+    h2 = h2 >> np.uint64(32)
     return starts, ends, doc, h1, h2, np.flatnonzero(doc[1:] == doc[:-1])
 
 

@@ -43,7 +43,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
     data = LOWER[data]
     starts, ends, doc = words(data, offs)
     n = len(offs) - 1
-    h = span_hash(data, starts, ends)
+    h = span_hash(data, starts, ends)[0]
     base = np.searchsorted(doc, np.arange(n + 1))
     grams = sequence_hash(h, k)
     whole = doc[: len(grams)] == doc[k - 1 :] if len(grams) else np.zeros(0, bool)

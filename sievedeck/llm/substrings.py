@@ -18,7 +18,8 @@ equi-joins that adaptive execution can split, and nothing is gathered by key but
 a document.
 
 Defined results: null and empty texts have no words; texts under ``WINDOW`` words
-are left alone; rows that share an id count as one place; rows with a null id are neither indexed nor
+are left alone; rows that share an id are documents of their own, in the order of a 64-bit hash of
+their texts, and those that share the text, too, are one place; rows with a null id are neither indexed nor
 changed; an empty table gives an empty result; other columns are kept as they are.
 """
 
@@ -31,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievedeck.llm.textvec import gather, only, range_hash, sequence_hash, span_hash, text_slices, words
-from sievedeck.session import discard, ensure_importable, staged
+from sievedeck.llm.textvec import gather, mix, only, sequence_hash, span_hash, text_slices, words
+from sievedeck.session import discard, ensure_importable, staged, unused
 
 WINDOW, SEED = 20, 6
 
@@ -40,7 +41,7 @@ WINDOW, SEED = 20, 6
 def _blocks(data: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """word starts, ends, documents, their hashes; and of the blocks: first window, number of windows, seed place, seed."""
     starts, ends, doc = words(data, offs)
-    h = [span_hash(data, starts, ends, lane) for lane in (0, 1)]
+    h = span_hash(data, starts, ends)
     none = np.zeros(0, np.int64)
     n = len(starts) - window + 1
     if n <= 0:
@@ -63,14 +64,20 @@ def _blocks(data: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray
     return starts, ends, doc, h, at[first], count, place[first], grams[place[first]]
 
 
-def _keyed(h: list[np.ndarray], first: np.ndarray, count: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+def _keyed(h: tuple[np.ndarray, np.ndarray], first: np.ndarray, count: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of the block's windows, each with its place in the block, and of where the seed stands in it."""
     shift = ((place - first).astype(np.uint64) << np.uint64(32)) + count.astype(np.uint64)
-    stop = first + count + window - 1
-    return (range_hash(h[0], first, stop, 0) + shift * np.uint64(0x9E3779B97F4A7C15)).view(np.int64), (range_hash(h[1], first, stop, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    upto = np.cumsum(count) - count
+    nth = np.arange(int(count.sum())) - np.repeat(upto, count)
+    at, salt = np.repeat(first, count) + nth, mix(nth.astype(np.uint64) + np.uint64(1))
+    c = [np.add.reduceat(mix(sequence_hash(h[lane], window, lane)[at] + salt), upto) if len(count) else np.zeros(0, np.uint64) for lane in (0, 1)]
+    return mix(c[0] + mix(shift)).view(np.int64), (mix(c[1]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _source(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text <> ''")
+    """doc_id, text, row: rows that share an id are told apart by a hash of their texts, and ordered by it."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id IS NOT NULL AND text <> ''")
+    return docs.withColumn("row", F.xxhash64("text"))
 
 
 def _seed_counts(docs: DataFrame, window: int) -> DataFrame:
@@ -85,35 +92,36 @@ def _seed_counts(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _block_rows(docs: DataFrame, window: int) -> DataFrame:
-    """seed, c1, c2, doc_id, place (first window * 16 + windows - 1) of every block."""
+    """seed, c1, c2, doc_id, row, place (first window * 64 + windows - 1) of every block."""
 
     def run(batches):
         only(("substrings",))
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, texts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
             for row, _, data, offs in text_slices(batch.column(1)):
                 starts, _, doc, h, first, count, place, seed = _blocks(data, offs, window)
                 c1, c2 = _keyed(h, first, count, place, window)
                 base = np.searchsorted(doc, np.arange(len(offs)))
                 own = doc[first] if len(first) else first
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(seed.view(np.int64)), pa.array(c1), pa.array(c2), pa.array(ids[own + row].astype(np.int64)), pa.array((first - base[own]) * 64 + count - 1)],
-                    names=["seed", "c1", "c2", "doc_id", "place"],
+                    [pa.array(seed.view(np.int64)), pa.array(c1), pa.array(c2), pa.array(ids[own + row].astype(np.int64)), pa.array(texts[own + row].astype(np.int64)), pa.array((first - base[own]) * 64 + count - 1)],
+                    names=["seed", "c1", "c2", "doc_id", "row", "place"],
                 )
 
-    return docs.mapInArrow(run, "seed long, c1 long, c2 int, doc_id long, place long")
+    return docs.mapInArrow(run, "seed long, c1 long, c2 int, doc_id long, row long, place long")
 
 
 def _window_rows(docs: DataFrame, window: int) -> DataFrame:
-    """w1, w2, doc_id, at of the windows of the listed blocks (docs: doc_id, text, places)."""
+    """w1, w2, doc_id, row, at of the windows of the listed blocks (docs: doc_id, text, row, places)."""
 
     def run(batches):
         only(("substrings",))
         for batch in batches:
-            ids, lists = batch.column(0).to_pylist(), batch.column(2)
+            ids, texts = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2))
+            lists = batch.column(3)
             for row, stop, data, offs in text_slices(batch.column(1)):
                 starts, ends, doc = words(data, offs)
-                h = [span_hash(data, starts, ends, lane) for lane in (0, 1)]
+                h = span_hash(data, starts, ends)
                 base = np.searchsorted(doc, np.arange(len(offs)))
                 owner, at = [], []
                 for k in range(stop - row):
@@ -124,28 +132,28 @@ def _window_rows(docs: DataFrame, window: int) -> DataFrame:
                     owner.append(np.full(len(own), k))
                 at, owner = np.concatenate(at), np.concatenate(owner)
                 where = at + base[owner]
-                w1 = range_hash(h[0], where, where + window, 0).view(np.int64)
-                w2 = (range_hash(h[1], where, where + window, 1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(np.array(ids, np.int64)[owner + row]), pa.array(at)], names=["w1", "w2", "doc_id", "at"])
+                w1 = sequence_hash(h[0], window, 0)[where].view(np.int64)
+                w2 = (sequence_hash(h[1], window, 1)[where] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(ids[owner + row]), pa.array(texts[owner + row]), pa.array(at)], names=["w1", "w2", "doc_id", "row", "at"])
 
-    return docs.select("doc_id", "text", "places").mapInArrow(run, "w1 long, w2 int, doc_id long, at long")
+    return docs.select("doc_id", "text", "row", "places").mapInArrow(run, "w1 long, w2 int, doc_id long, row long, at long")
 
 
 def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """doc_id and found, an array of (at, windows, ref_doc, ref_at): runs of windows that also start at an earlier place."""
+    """doc_id, row and found, an array of (at, windows, ref_doc, ref_at): runs of windows that also start at an earlier place."""
     ensure_importable(df.sparkSession)
     docs = _source(df, id_col, text_col)
     seeds = staged(_seed_counts(docs, window).groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed"), "seeds")
     blocks = staged(_block_rows(docs, window).join(seeds, "seed"), "blocks")
-    index = staged(blocks.groupBy("seed", "c1", "c2").agg(F.min(F.struct("doc_id", "place")).alias("ref"), F.count("*").alias("n")), "index")
+    index = staged(blocks.groupBy("seed", "c1", "c2").agg(F.min(F.struct("doc_id", "row", "place")).alias("ref"), F.count("*").alias("n")), "index")
     mixed = index.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1").select("seed")
-    edge = index.join(mixed, "seed").groupBy(F.col("ref.doc_id").alias("doc_id")).agg(F.collect_list("ref.place").alias("places"))
-    rows = staged(_window_rows(docs.join(edge, "doc_id"), window), "windows")
-    first = rows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "at")).alias("ref"), F.count("*").alias("n")).where("n > 1")
-    singles = rows.join(first, ["w1", "w2"]).where(F.struct("doc_id", "at") != F.col("ref")).select("doc_id", "at", F.lit(1).cast("long").alias("windows"), F.col("ref.doc_id").alias("ref_doc"), F.col("ref.at").alias("ref_at"))
-    whole = blocks.join(index.where("n > 1"), ["seed", "c1", "c2"]).where(F.struct("doc_id", "place") != F.col("ref"))
-    whole = whole.select("doc_id", F.floor(F.col("place") / 64).alias("at"), (F.col("place") % 64 + 1).alias("windows"), F.col("ref.doc_id").alias("ref_doc"), F.floor(F.col("ref.place") / 64).alias("ref_at"))
-    found = staged(whole.unionByName(singles).groupBy("doc_id").agg(F.collect_list(F.struct("at", "windows", "ref_doc", "ref_at")).alias("found")), "found")
+    edge = index.join(mixed, "seed").groupBy(F.col("ref.doc_id").alias("doc_id"), F.col("ref.row").alias("row")).agg(F.collect_list("ref.place").alias("places"))
+    rows = staged(_window_rows(docs.join(edge, ["doc_id", "row"]), window), "windows")
+    first = rows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "row", "at")).alias("ref"), F.count("*").alias("n")).where("n > 1")
+    singles = rows.join(first, ["w1", "w2"]).where(F.struct("doc_id", "row", "at") != F.col("ref")).select("doc_id", "row", "at", F.lit(1).cast("long").alias("windows"), F.col("ref.doc_id").alias("ref_doc"), F.col("ref.at").alias("ref_at"))
+    whole = blocks.join(index.where("n > 1"), ["seed", "c1", "c2"]).where(F.struct("doc_id", "row", "place") != F.col("ref"))
+    whole = whole.select("doc_id", "row", F.floor(F.col("place") / 64).alias("at"), (F.col("place") % 64 + 1).alias("windows"), F.col("ref.doc_id").alias("ref_doc"), F.floor(F.col("ref.place") / 64).alias("ref_at"))
+    found = staged(whole.unionByName(singles).groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "windows", "ref_doc", "ref_at")).alias("found")), "found")
     discard(seeds, blocks, index, rows)
     return found
 
@@ -203,7 +211,8 @@ def _stripped(data: np.ndarray, offs: np.ndarray, factors: list[list[tuple[int,
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Add ``dedup``: text (what is left), n_words, n_removed, kept_sha256 (of the kept
     words joined by one space) and factors (start, words, ref_doc, ref_start)."""
-    found = matches(df, id_col, text_col, window).toDF("__id", "__found")
+    found_id, found_row, found_col = unused(df, "__id", "__row", "__found")
+    found = matches(df, id_col, text_col, window).toDF(found_id, found_row, found_col)
 
     @F.pandas_udf("struct<text: string, n_words: long, n_removed: long, kept_sha256: string, factors: array<struct<start: long, words: long, ref_doc: long, ref_start: long>>>")
     def strip(texts, lists):
@@ -221,5 +230,6 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         names = ("start", "words", "ref_doc", "ref_start")
         return pd.DataFrame(out | {"factors": [[dict(zip(names, f, strict=True)) for f in x] for x in parsed]})
 
-    joined = df.join(found, df[id_col].cast("long") == F.col("__id"), "left").drop("__id")
-    return joined.withColumn("dedup", strip(F.col(text_col), F.col("__found"))).drop("__found")
+    own = (df[id_col].cast("long") == F.col(found_id)) & (F.xxhash64(df[text_col]) == F.col(found_row))
+    joined = df.join(found, own, "left").drop(found_id, found_row)
+    return joined.withColumn("dedup", strip(F.col(text_col), F.col(found_col))).drop(found_col)

@@ -26,7 +26,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_BASES = (0x5851F42D4C957F2D, 0xD1342543DE82EF95)
+_JOIN = np.uint64(0xD1342543DE82EF95)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,59 +36,58 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _bytes_table(lane: int) -> np.ndarray:
-    return mix((np.arange(1, 257, dtype=np.uint64) + np.uint64(1000 * lane)) * _GOLD)
-
-
-_TABLES = tuple(_bytes_table(k) for k in range(2))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Different byte strings, compared whole, and which of them each span is; spans ascend and do not overlap.
 
+    Arrow numbers the spans and the gaps between them, so the strings contain those of the gaps, too.
+    """
+    if not len(starts):
+        return [], np.zeros(0, np.int64)
+    edges = np.empty(2 * len(starts), np.int64)
+    edges[0::2], edges[1::2] = starts, ends
+    numbered = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return numbered.dictionary.to_pylist(), numbered.indices.to_numpy()[0::2]
 
-def _powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    if lane not in _POWERS or len(_POWERS[lane][0]) < n:
-        size, base = max(n, SLICE_BYTES + 1), _BASES[lane]
-        made = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            row = np.full(size, b, np.uint64)
-            row[0] = 1
-            made.append(np.multiply.accumulate(row))
-        if size > 4 * SLICE_BYTES:  # one very long document: not worth keeping
-            return tuple(made)
-        _POWERS[lane] = tuple(made)
-    return _POWERS[lane]
 
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of the xxh3-128 digest of each span; each different string is hashed once."""
+    from xxhash import xxh3_128_digest
 
-def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """64-bit hashes of the byte spans; lanes are independent hash functions."""
-    power, inverse = _powers(lane, len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLES[lane][data] * power[: len(data)], out=total[1:])
-    h = (total[ends] - total[starts]) * inverse[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * _GOLD)
+    strings, which = distinct_spans(data, starts, ends)
+    table = np.frombuffer(b"".join(map(xxh3_128_digest, strings)), "<u8").reshape(-1, 2)
+    return table[which, 0], table[which, 1]
 
 
 def sequence_hash(items: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
-    """Hash of each run of ``k`` consecutive 64-bit items (len(items) - k + 1 values)."""
+    """Hash of each run of ``k`` consecutive 64-bit items (len(items) - k + 1 values).
+
+    Runs of 1, 2, 4 ... items are joined pairwise, with a bijection after each join, so there is
+    no polynomial whose differences vanish. Lanes are independent hash functions.
+    """
     n = len(items) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base = np.uint64(_BASES[1 - lane])
-    if lane:
-        items = mix(items + np.uint64(0xA5A5A5A55A5A5A5A))
-    if k > 6:
-        return range_hash(items, np.arange(n), np.arange(k, n + k), lane)
-    h = np.zeros(n, np.uint64)
-    for j in range(k):
-        h = h * base + items[j : n + j]
-    return mix(h)
+    level, made, at, size = mix(items + np.uint64(lane) * _GOLD), None, 0, 1
+    while True:
+        if k & size:
+            part = level[at : at + n]
+            made = part if made is None else mix(made * _JOIN + part)
+            at += size
+        if 2 * size > k:
+            return mix(made + np.uint64(k * int(_GOLD) & (1 << 64) - 1))
+        level = mix(level[:-size] * _JOIN + level[size:])
+        size *= 2
 
 
 def range_hash(items: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
-    """Hash of each run items[start:end] of 64-bit items."""
-    power, inverse = _powers(1 - lane, len(items) + 1)
-    total = np.zeros(len(items) + 1, np.uint64)
-    np.cumsum(items * power[: len(items)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _GOLD)
+    """Hash of each run items[start:end] (not empty) of 64-bit items: a sum of functions of item and place."""
+    count = ends - starts
+    if not len(count):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(count) - count
+    place = np.arange(int(count.sum())) - np.repeat(first, count)
+    keyed = mix(gather(items, starts, count) + mix((place.astype(np.uint64) + np.uint64(1 + 1000 * lane)) * _GOLD))
+    return mix(np.add.reduceat(keyed, first) + count.astype(np.uint64) * _GOLD)
 
 
 def trim() -> None:
@@ -170,8 +169,8 @@ def added_spans(data: np.ndarray, offs: np.ndarray, added: re.Pattern | None) ->
     return spans[:, 0], spans[:, 1]
 
 
-def tokenizer_pieces(data: np.ndarray, offs: np.ndarray, added: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cut texts where no pre-tokenizer match can cross: before the last white
+def tokenizer_pieces(data: np.ndarray, offs: np.ndarray, added: re.Pattern | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and documents of the pieces. Texts are cut where no pre-tokenizer match can cross: before the last white
     space of a run that a non-space follows, and between a letter and an ASCII
     mark. Encoding piece by piece then equals encoding the text, for patterns
     that take one space with the next word and keep letters and marks apart. The
@@ -191,55 +190,50 @@ def tokenizer_pieces(data: np.ndarray, offs: np.ndarray, added: re.Pattern | Non
             cut[a:b] = False
         cut[offs[:-1][offs[:-1] < offs[1:]]] = True
     starts = np.flatnonzero(cut)
-    ends = np.append(starts[1:], n)
-    return starts, ends, np.searchsorted(texts, starts, "right") - 1
+    return starts, np.searchsorted(texts, starts, "right") - 1
 
 
-def whole_texts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return offs[:-1], offs[1:], np.arange(len(offs) - 1)
+def whole_texts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return offs[:-1], np.arange(len(offs) - 1)
 
 
 class PieceCache:
     """Works out what belongs to each distinct piece once and keeps it, in bounded memory.
 
     ``learn`` takes the texts of new pieces and returns for each kind the values of
-    all of them one after another, and how many each has. Known pieces are arrays
-    sorted by hash, some 40 bytes an entry; beyond ``max_entries`` they are
-    dropped and learnt again.
+    all of them one after another, and how many each has. Pieces are known by their bytes;
+    when they and their values take more than ``max_bytes``, they are dropped and learnt again.
     """
 
-    def __init__(self, learn, max_entries: int = 800_000, pieces=tokenizer_pieces):
-        self.learn, self.max_entries, self.pieces = learn, max_entries, pieces
+    ENTRY = 220  # bytes of a key's objects and its places, about
+
+    def __init__(self, learn, max_bytes: int = 96 << 20, pieces=tokenizer_pieces):
+        self.learn, self.max_bytes, self.pieces = learn, max_bytes, pieces
         self._reset()
 
     def _reset(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.known: dict[bytes, int] = {}
+        self.size = 0
         self.kinds: dict[str, list[np.ndarray]] = {}
 
-    def _find(self, uniq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(self.keys, uniq)
-        known = np.zeros(len(uniq), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == uniq[inside]
-        return at, known
-
-    def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Where the pieces' values are kept; holds until the next call."""
-        uniq, first, inv = np.unique(span_hash(data, starts, ends), return_index=True, return_inverse=True)
-        at, known = self._find(uniq)
-        if not known.all() or not self.kinds:
-            if len(self.keys) + int((~known).sum()) > self.max_entries:
-                self._reset()
-                at, known = self._find(uniq)
-            miss = np.flatnonzero(~known)
-            raw = data.tobytes()
-            found = self.learn([raw[s:e].decode("utf-8", "replace") for s, e in zip(starts[first[miss]].tolist(), ends[first[miss]].tolist(), strict=True)])
+    def rows(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where the values of the pieces (from each start to the next) are kept; holds until the next call."""
+        edges = np.append(starts, len(data)).astype(np.int64)
+        numbered = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+        said = numbered.dictionary.to_pylist()
+        new = [x for x in said if x not in self.known]
+        if new and self.size + sum(map(len, new)) + self.ENTRY * len(new) > self.max_bytes:
+            self._reset()
+            new = said
+        if new or not self.kinds:
+            found = self.learn([x.decode("utf-8", "replace") for x in new])
             for kind, (flat, cnt) in found.items():
                 old = self.kinds.get(kind) or [np.zeros(0, np.int64), np.zeros(0, np.int32), flat[:0]]
-                self.kinds[kind] = [np.insert(old[0], at[miss], len(old[2]) + np.cumsum(cnt) - cnt), np.insert(old[1], at[miss], cnt), np.concatenate([old[2], flat])]
-            self.keys = np.insert(self.keys, at[miss], uniq[miss])
-            at, _ = self._find(uniq)
-        return at[inv.reshape(-1)]
+                self.kinds[kind] = [np.concatenate([old[0], len(old[2]) + np.cumsum(cnt, dtype=np.int64) - cnt]), np.concatenate([old[1], cnt]), np.concatenate([old[2], flat])]
+                self.size += flat.nbytes
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self.size += sum(map(len, new)) + self.ENTRY * len(new)
+        return np.fromiter(map(self.known.__getitem__, said), np.int64, len(said))[numbered.indices.to_numpy()]
 
     def take(self, kind: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         off, cnt, flat = self.kinds[kind]
@@ -249,8 +243,8 @@ class PieceCache:
     def documents(self, column, kinds: tuple[str, ...]) -> Iterator[tuple[int, dict[str, tuple[np.ndarray, np.ndarray]]]]:
         """Yield (first row, {kind: (values of a slice of rows, offsets of the rows)})."""
         for row, stop, data, offs in text_slices(column):
-            starts, ends, doc = self.pieces(data, offs)
-            rows, made = self.rows(data, starts, ends), {}
+            starts, doc = self.pieces(data, offs)
+            rows, made = self.rows(data, starts), {}
             for kind in kinds:
                 flat, cnt = self.take(kind, rows)
                 per_doc = np.bincount(doc, weights=cnt, minlength=stop - row).astype(np.int64)

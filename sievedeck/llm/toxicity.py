@@ -52,7 +52,7 @@ def buckets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     before[inner] = True
     after[inner - 1] = True
     starts, ends = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
-    return (span_hash(data, starts, ends) >> np.uint64(64 - BITS)).astype(np.int64), np.searchsorted(offs, starts, "right") - 1
+    return (span_hash(data, starts, ends)[0] >> np.uint64(64 - BITS)).astype(np.int64), np.searchsorted(offs, starts, "right") - 1
 
 
 def _padded(rows: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
