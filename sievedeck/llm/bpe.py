@@ -29,14 +29,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievedeck.llm.textvec import SLICE_BYTES, only
 from sievedeck.session import ensure_importable
 
-#: Bytes of a segment of a long word; bytes of the words of a query; words a worker's cache holds (twice).
-SEGMENT, BLOCK_BYTES, KNOWN_WORDS = 64, 200_000, 150_000
+#: Bytes of a segment of a long word; bytes of the words of a query; words a worker's cache holds (twice); words decoded by a query.
+SEGMENT, BLOCK_BYTES, KNOWN_WORDS, DECODED = 64, 400_000, 400_000, 50_000
 
 _ENCODE = """
 WITH RECURSIVE state(word, tokens) USING KEY (word) AS (
@@ -51,7 +52,10 @@ WITH RECURSIVE state(word, tokens) USING KEY (word) AS (
 )
 SELECT tokens FROM state ORDER BY word
 """
-_DECODE = "SELECT seq, string_agg(hex, '' ORDER BY pos) AS hex FROM given LEFT JOIN vocabulary USING (token) GROUP BY seq ORDER BY seq"
+_DECODE = """
+SELECT seq, string_agg(hex, '' ORDER BY pos) AS hex, string_agg(said, '' ORDER BY pos) AS decimal
+FROM given LEFT JOIN vocabulary USING (token) GROUP BY seq ORDER BY seq
+"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -83,14 +87,14 @@ class DuckBpe:
         self.db.execute("SET memory_limit = '512MB'")
         self.db.register("given_merges", merge_table(ranks))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM given_merges")
-        self.db.register("given_vocabulary", pa.table({"token": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks]}))
+        self.db.register("given_vocabulary", pa.table({"token": pa.array(ranks.values(), pa.int32()), "hex": [t.hex() for t in ranks], "said": [f"{i} " for i in ranks.values()]}))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM given_vocabulary")
         self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.said = {i: t for t, i in ranks.items()}
         self.pattern = regex.compile(pattern)
         # What a word's ids are in decimal (a space after each), and the bytes they decode to.
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.before: dict[str, tuple[bytes, bytes]] = {}
+        self.known: dict[str, tuple[str, bytes]] = {}
+        self.before: dict[str, tuple[str, bytes]] = {}
 
     def _query(self, name: str, table: pa.Table, sql: str) -> pa.Table:
         self.db.register(name, table)
@@ -98,9 +102,9 @@ class DuckBpe:
         self.db.unregister(name)
         return out
 
-    def _contract(self, words: list[bytes]) -> list[list[int]]:
+    def _contract(self, words: list[bytes]) -> pa.ChunkedArray:
         """Ids of words (none empty), a block a query."""
-        out: list[list[int]] = []
+        out: list[pa.Array] = []
         at = 0
         while at < len(words):
             stop, size = at, 0
@@ -109,9 +113,9 @@ class DuckBpe:
                 stop += 1
             tokens = pa.array(self.bytes[np.frombuffer(b"".join(words[at:stop]), np.uint8)])
             offsets = pa.array(np.cumsum([0, *map(len, words[at:stop])]), pa.int32())
-            out += self._query("starting", pa.table({"word": np.arange(stop - at, dtype=np.int32), "tokens": pa.ListArray.from_arrays(offsets, tokens)}), _ENCODE)["tokens"].to_pylist()
+            out += self._query("starting", pa.table({"word": np.arange(stop - at, dtype=np.int32), "tokens": pa.ListArray.from_arrays(offsets, tokens)}), _ENCODE)["tokens"].chunks
             at = stop
-        return out
+        return pa.chunked_array(out, pa.list_(pa.int32()))
 
     def _joined(self, tokens: list[int]) -> bytes:
         return b"".join(map(self.said.__getitem__, tokens))
@@ -119,7 +123,7 @@ class DuckBpe:
     def _by_segments(self, words: list[bytes]) -> list[list[int]]:
         """Ids of long words; each has its tokens so far and its untested boundaries with the tokens to take on either side."""
         cut = [[w[a : a + SEGMENT] for a in range(0, len(w), SEGMENT)] for w in words]
-        made = iter(self._contract(list(chain.from_iterable(cut))))
+        made = iter(self._contract(list(chain.from_iterable(cut))).to_pylist())
         tokens: list[list[int]] = []
         untested: list[dict[int, int]] = []
         for parts in cut:
@@ -134,7 +138,7 @@ class DuckBpe:
         while any(untested):
             new = {(t[b - 1], t[b]) for t, edges in zip(tokens, untested, strict=True) for b in edges} - holds.keys()
             pairs = sorted(new)
-            for pair, ids in zip(pairs, self._contract([self._joined(list(p)) for p in pairs]), strict=True):
+            for pair, ids in zip(pairs, self._contract([self._joined(list(p)) for p in pairs]).to_pylist(), strict=True):
                 holds[pair] = ids == list(pair)
             windows: list[tuple[int, int, int, int]] = []  # word, first and end token, and reach of the next round
             for k, (t, edges) in enumerate(zip(tokens, untested, strict=True)):
@@ -146,7 +150,7 @@ class DuckBpe:
                         a, reach = windows[-1][1], max(reach, windows[-1][3] // 2)
                         z = max(z, windows.pop()[2])
                     windows.append((k, a, z, 2 * reach))
-            again = self._contract([self._joined(tokens[k][a:z]) for k, a, z, _ in windows])
+            again = self._contract([self._joined(tokens[k][a:z]) for k, a, z, _ in windows]).to_pylist()
             untested = [{} for _ in words]
             pieces: dict[int, list[int]] = {}
             done: dict[int, int] = {}
@@ -163,38 +167,38 @@ class DuckBpe:
                 tokens[k] = own + tokens[k][done[k] :]
         return tokens
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of words, none of them empty."""
-        out: list = [None] * len(words)
-        for of, own in ((self._contract, [k for k, w in enumerate(words) if len(w) <= SEGMENT]), (self._by_segments, [k for k, w in enumerate(words) if len(w) > SEGMENT])):
-            for k, ids in zip(own, of([words[k] for k in own]), strict=True):
-                out[k] = ids
-        return out
-
-    def decode(self, sequences: list[list[int]]) -> list[bytes]:
-        """The bytes of each sequence of ids; an empty one has none."""
-        lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
-        seq = np.repeat(np.arange(len(sequences), dtype=np.int32), lengths)
-        if not len(seq):
-            return [b""] * len(sequences)
-        pos = np.arange(len(seq)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        token = np.fromiter(chain.from_iterable(sequences), np.int32, len(seq))
-        made = self._query("given", pa.table({"seq": seq, "pos": pos, "token": token}), _DECODE)
-        out = [b""] * len(sequences)
-        for k, x in zip(made["seq"].to_pylist(), made["hex"].to_pylist(), strict=True):
-            out[k] = bytes.fromhex(x)
-        return out
+    def encode_words(self, words: list[bytes]) -> pa.Array:
+        """Lists of ids of words, none of them empty."""
+        long = [k for k, w in enumerate(words) if len(w) > SEGMENT]
+        if not long:
+            return self._contract(words).combine_chunks()
+        short = [k for k, w in enumerate(words) if len(w) <= SEGMENT]
+        made = [*self._contract([words[k] for k in short]).chunks, pa.array(self._by_segments([words[k] for k in long]), pa.list_(pa.int32()))]
+        return pa.concat_arrays(made).take(pa.array(np.argsort(short + long)))
+
+    def decode(self, sequences: pa.Array) -> tuple[list[bytes], list[str]]:
+        """The bytes of each list of ids, and the ids in decimal, a space after each; an empty or null one has none."""
+        lengths = pc.fill_null(pc.list_value_length(sequences), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        raw, decimal = [b""] * len(lengths), [""] * len(lengths)
+        for a in range(0, len(lengths), DECODED):
+            own = lengths[a : a + DECODED]
+            seq = np.repeat(np.arange(a, a + len(own)), own)
+            if len(seq):
+                pos = np.arange(len(seq)) - np.repeat(np.cumsum(own) - own, own)
+                made = self._query("given", pa.table({"seq": seq, "pos": pos, "token": pc.list_flatten(sequences.slice(a, DECODED)).cast(pa.int32())}), _DECODE)
+                for k, x, d in zip(*(made[c].to_pylist() for c in ("seq", "hex", "decimal")), strict=True):
+                    raw[k], decimal[k] = bytes.fromhex(x), d
+        return raw, decimal
 
     def _learn(self, words: list[str]) -> None:
         old = [w for w in words if w in self.before]
         self.known.update(zip(old, map(self.before.pop, old), strict=True))
         new = [w for w in words if w not in self.known]
-        ids = self.encode_words([w.encode() for w in new])
-        for a in range(0, len(new), 50_000):
-            for w, own, raw in zip(new[a : a + 50_000], ids[a : a + 50_000], self.decode(ids[a : a + 50_000]), strict=True):
-                self.known[w] = "".join(f"{i} " for i in own).encode(), raw
+        if new:
+            raw, decimal = self.decode(self.encode_words([w.encode() for w in new]))
+            self.known.update(zip(new, zip(decimal, raw, strict=True), strict=True))
 
-    def documents(self, texts: list[str | None]) -> Iterator[tuple[bytes, bytes]]:
+    def documents(self, texts: list[str | None]) -> Iterator[tuple[str, bytes]]:
         """For each text its ids in decimal, a space after each, and the bytes they decode to."""
         at = 0
         while at < len(texts):
@@ -208,7 +212,7 @@ class DuckBpe:
             self._learn(sorted(set(chain.from_iterable(found)) - self.known.keys()))
             for matches in found:
                 own = [self.known[m] for m in matches]
-                yield b"".join([x[0] for x in own]), b"".join([x[1] for x in own])
+                yield "".join([x[0] for x in own]), b"".join([x[1] for x in own])
             at = stop
 
 
@@ -237,7 +241,7 @@ def bpe_decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids
     def decode(ids):
         import pandas as pd
 
-        return pd.Series(worker_bpe(ranks_path, pattern).decode([[] if x is None else list(x) for x in ids]))
+        return pd.Series(worker_bpe(ranks_path, pattern).decode(pa.array(ids, pa.list_(pa.int32())))[0])
 
     return df.withColumn(out_col, decode(F.col(ids_col)))
 
@@ -250,8 +254,8 @@ def bpe_round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
         for batch in batches:
             out = ([], [], [])
             for decimal, raw in worker_bpe(ranks_path, pattern).documents(batch.column(1).to_pylist()):
-                out[0].append(decimal.count(b" "))
-                out[1].append(hashlib.sha256(decimal[:-1]).hexdigest())
+                out[0].append(decimal.count(" "))
+                out[1].append(hashlib.sha256(decimal[:-1].encode()).hexdigest())
                 out[2].append(hashlib.sha256(raw).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
