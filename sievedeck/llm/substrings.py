@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievedeck.llm.joins import salted_join
 from sievedeck.llm.textvec import gather, mix, only, sequence_hash, span_hash, text_slices, words
 from sievedeck.session import discard, ensure_importable, staged, unused
 
@@ -143,18 +144,18 @@ def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     """doc_id, row and found, an array of (at, windows, ref_doc, ref_at): runs of windows that also start at an earlier place."""
     ensure_importable(df.sparkSession)
     docs = _source(df, id_col, text_col)
-    seeds = staged(_seed_counts(docs, window).groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed"), "seeds")
-    blocks = staged(_block_rows(docs, window).join(seeds, "seed"), "blocks")
+    seeds = staged(_seed_counts(docs, window).groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1"), "seeds")
+    blocks = staged(salted_join(_block_rows(docs, window), seeds, ["seed"], ["doc_id", "place"]).drop("n"), "blocks")
     index = staged(blocks.groupBy("seed", "c1", "c2").agg(F.min(F.struct("doc_id", "row", "place")).alias("ref"), F.count("*").alias("n")), "index")
     mixed = index.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1").select("seed")
     edge = index.join(mixed, "seed").groupBy(F.col("ref.doc_id").alias("doc_id"), F.col("ref.row").alias("row")).agg(F.collect_list("ref.place").alias("places"))
     rows = staged(_window_rows(docs.join(edge, ["doc_id", "row"]), window), "windows")
-    first = rows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "row", "at")).alias("ref"), F.count("*").alias("n")).where("n > 1")
-    singles = rows.join(first, ["w1", "w2"]).where(F.struct("doc_id", "row", "at") != F.col("ref")).select("doc_id", "row", "at", F.lit(1).cast("long").alias("windows"), F.col("ref.doc_id").alias("ref_doc"), F.col("ref.at").alias("ref_at"))
-    whole = blocks.join(index.where("n > 1"), ["seed", "c1", "c2"]).where(F.struct("doc_id", "row", "place") != F.col("ref"))
+    first = staged(rows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "row", "at")).alias("ref"), F.count("*").alias("n")).where("n > 1"), "first")
+    singles = salted_join(rows, first, ["w1", "w2"], ["doc_id", "at"]).where(F.struct("doc_id", "row", "at") != F.col("ref")).select("doc_id", "row", "at", F.lit(1).cast("long").alias("windows"), F.col("ref.doc_id").alias("ref_doc"), F.col("ref.at").alias("ref_at"))
+    whole = salted_join(blocks, index.where("n > 1"), ["seed", "c1", "c2"], ["doc_id", "place"]).where(F.struct("doc_id", "row", "place") != F.col("ref"))
     whole = whole.select("doc_id", "row", F.floor(F.col("place") / 64).alias("at"), (F.col("place") % 64 + 1).alias("windows"), F.col("ref.doc_id").alias("ref_doc"), F.floor(F.col("ref.place") / 64).alias("ref_at"))
     found = staged(whole.unionByName(singles).groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "windows", "ref_doc", "ref_at")).alias("found")), "found")
-    discard(seeds, blocks, index, rows)
+    discard(seeds, blocks, index, rows, first)
     return found
 
 
