@@ -10,8 +10,11 @@ grouping that finds them has the chunk's bytes in its key.
 With ``passages`` every two neighbouring lines are a chunk, at every offset, so a repeated passage
 of two lines or more goes whole wherever it stands: a line goes if it and a neighbour also stand
 together in a document of a lesser id or earlier in the same one, judged on the input. Pairs
-are keyed by their lines' hashes; lines are grouped with their bytes, and pairs with a line whose
-hash has other bytes as well are left out. The queries and the pipeline use this.
+are keyed by their lines' hashes. The queries and the pipeline use this.
+
+Bytes are compared in either form: lines (chunks) are grouped with their bytes by hash, and should
+one hash have several byte strings, all keys are made of SHA-256 digests instead, so nothing goes and
+nothing stays on the word of a short hash.
 
 Defined results: null texts stay null and have no lines; an empty text has one
 empty line; documents of one line are left alone; rows that share an id count as one
@@ -21,13 +24,17 @@ an empty table gives an empty result; other columns are kept as they are.
 
 from __future__ import annotations
 
+import hashlib
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievedeck.llm.textvec import only, sequence_hash, span_hash, text_slices
-from sievedeck.session import ensure_importable, staged
+from sievedeck.llm.joins import salted_join
+from sievedeck.llm.textvec import distinct_spans, only, sequence_hash, span_hash, text_slices
+from sievedeck.session import discard, ensure_importable, staged, unused
 
 WINDOW, MODULUS = 2, 3
 
@@ -76,15 +83,27 @@ def chunks(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts[firsts], ends[after - 1], owner, after - firsts
 
 
-def _keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    return [h.view(np.int64) for h in span_hash(data, starts, ends)]
+#: How spans become keys: "sha256", or the number of bits of each half of a 128-bit xxhash that count (tests lower it).
+FAST, SURE = 64, "sha256"
+
+
+def _span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, how: int | str) -> tuple[np.ndarray, np.ndarray]:
+    if how == SURE:
+        strings, which = distinct_spans(data, starts, ends)
+        table = np.frombuffer(b"".join(hashlib.sha256(x).digest()[:16] for x in strings), "<u8").reshape(-1, 2)
+        return table[which, 0], table[which, 1]
+    return tuple(h >> np.uint64(64 - how) for h in span_hash(data, starts, ends))
+
+
+def _keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, how: int | str) -> list[np.ndarray]:
+    return [h.view(np.int64) for h in _span_keys(data, starts, ends, how)]
 
 
 def _several_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").contains("\n"))
 
 
-def _chunk_rows(df: DataFrame, id_col: str, text_col: str, bytes_too: bool) -> DataFrame:
+def _chunk_rows(df: DataFrame, id_col: str, text_col: str, how: int | str, bytes_too: bool = False) -> DataFrame:
     """h1, h2, doc_id (and the bytes) of the distinct chunks of several lines of each document."""
 
     def run(batches):
@@ -95,7 +114,7 @@ def _chunk_rows(df: DataFrame, id_col: str, text_col: str, bytes_too: bool) -> D
                 starts, ends, doc, n = chunks(data, offs)
                 many = n > 1
                 starts, ends, doc = starts[many], ends[many], doc[many]
-                h1, h2 = _keys(data, starts, ends)
+                h1, h2 = _keys(data, starts, ends, how)
                 _, first = np.unique(np.stack([doc, h1, h2]), axis=1, return_index=True) if len(doc) else (None, np.zeros(0, np.int64))
                 first.sort()
                 columns = [pa.array(h1[first]), pa.array(h2[first]), ids.take(pa.array(doc[first] + row))]
@@ -108,23 +127,21 @@ def _chunk_rows(df: DataFrame, id_col: str, text_col: str, bytes_too: bool) -> D
     return _several_lines(df, id_col, text_col).mapInArrow(run, f"h1 long, h2 long, doc_id {kind}" + ", chunk binary" * bytes_too)
 
 
-def repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """h1, h2, first_doc of the chunks that several documents have.
+def repeated_chunks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: int | str = FAST) -> DataFrame:
+    """h1, h2, first_doc, n, kinds of the chunks that several documents have, and of keys with several byte strings.
 
     Partial aggregation merges copies before the shuffle, so a chunk that a third
-    of all documents have is a row a task. Two different byte strings
-    under one key would give two rows; such keys are left out, so nothing goes
-    on the word of a hash.
+    of all documents have is a row a task.
     """
     ensure_importable(df.sparkSession)
-    found = _chunk_rows(df, id_col, text_col, True).groupBy("h1", "h2", "chunk").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
-    return found.groupBy("h1", "h2").agg(F.min("first_doc").alias("first_doc"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("n > 1 AND kinds = 1").select("h1", "h2", "first_doc")
+    found = _chunk_rows(df, id_col, text_col, how, True).groupBy("h1", "h2", "chunk").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
+    return found.groupBy("h1", "h2").agg(F.min("first_doc").alias("first_doc"), F.sum("n").alias("n"), F.count("*").alias("kinds")).where("n > 1")
 
 
-def _strip(data: np.ndarray, offs: np.ndarray, gone: list) -> tuple[list[bytes], list[int], list[int]]:
+def _strip(data: np.ndarray, offs: np.ndarray, gone: list, how: int | str = FAST) -> tuple[list[bytes], list[int], list[int]]:
     """Texts without the chunks in ``gone`` (pairs of keys a document) and without repeats inside; lines before and removed."""
     starts, ends, doc, n = chunks(data, offs)
-    h1, h2 = _keys(data, starts, ends)
+    h1, h2 = _keys(data, starts, ends, how)
     raw = data.tobytes()
     kept: list[list[bytes]] = [[] for _ in gone]
     total, removed = [0] * len(gone), [0] * len(gone)
@@ -140,12 +157,11 @@ def _strip(data: np.ndarray, offs: np.ndarray, gone: list) -> tuple[list[bytes],
     return [b"\n".join(x) for x in kept], total, removed
 
 
-def _pairs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+def _pairs(data: np.ndarray, offs: np.ndarray, how: int | str) -> tuple[np.ndarray, ...]:
     """Starts, ends, documents and two hashes (64 and 32 bits) of all lines, and those that have a next line."""
     starts, ends, doc = line_spans(data, offs)
-    h1, h2 = span_hash(data, starts, ends)
-    h2 = h2 >> np.uint64(32)
-    return starts, ends, doc, h1, h2, np.flatnonzero(doc[1:] == doc[:-1])
+    h1, h2 = _span_keys(data, starts, ends, how)
+    return starts, ends, doc, h1, h2 >> np.uint64(32), np.flatnonzero(doc[1:] == doc[:-1])
 
 
 def _pair_keys(h1: np.ndarray, h2: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -153,7 +169,7 @@ def _pair_keys(h1: np.ndarray, h2: np.ndarray, at: np.ndarray) -> list[np.ndarra
     return [x.view(np.int64) for x in (h1[at], h1[at + 1], (h2[at] << np.uint64(32)) | h2[at + 1])]
 
 
-def _pair_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _pair_rows(df: DataFrame, id_col: str, text_col: str, how: int | str) -> DataFrame:
     """a, b, c (the key), doc_id of all pairs of neighbouring lines."""
 
     def run(batches):
@@ -161,21 +177,21 @@ def _pair_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for row, _, data, offs in text_slices(batch.column(1)):
-                _, _, doc, h1, h2, at = _pairs(data, offs)
+                _, _, doc, h1, h2, at = _pairs(data, offs, how)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, _pair_keys(h1, h2, at)), ids.take(pa.array(doc[at] + row))], names=["a", "b", "c", "doc_id"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return _several_lines(df, id_col, text_col).mapInArrow(run, f"a long, b long, c long, doc_id {kind}")
 
 
-def _line_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _line_rows(df: DataFrame, id_col: str, text_col: str, how: int | str) -> DataFrame:
     """h1, h2 and bytes of the lines; of equal lines in a slice one."""
 
     def run(batches):
         only(("lines",))
         for batch in batches:
             for _, _, data, offs in text_slices(batch.column(1)):
-                starts, ends, _, h1, h2, _ = _pairs(data, offs)
+                starts, ends, _, h1, h2, _ = _pairs(data, offs, how)
                 raw = data.tobytes()
                 found = list({raw[a:b]: k for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True))}.items())
                 at = np.array([k for _, k in found], np.int64)
@@ -184,20 +200,22 @@ def _line_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _several_lines(df, id_col, text_col).mapInArrow(run, "h1 long, h2 long, line binary")
 
 
-def repeated_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b, c, first_doc of the pairs of neighbouring lines that several documents have."""
+def lines_collide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: int | str = FAST) -> bool:
+    """Whether two lines of different bytes have one hash."""
+    kinds = _line_rows(df, id_col, text_col, how).distinct().groupBy("h1", "h2").agg(F.count("*").alias("kinds"))
+    return not kinds.where("kinds > 1").isEmpty()
+
+
+def repeated_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: int | str = FAST) -> DataFrame:
+    """a, b, c, first_doc, n of the pairs of neighbouring lines that several documents have."""
     ensure_importable(df.sparkSession)
-    mixed = staged(_line_rows(df, id_col, text_col).distinct().groupBy("h1", "h2").agg(F.count("*").alias("kinds")).where("kinds > 1").select("h1", "h2"), "mixed")
-    found = _pair_rows(df, id_col, text_col).groupBy("a", "b", "c").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").drop("last_doc")
-    upper, lower = F.shiftrightunsigned("c", 32), F.col("c").bitwiseAND(F.lit(0xFFFFFFFF))
-    for line, rest in (("a", upper), ("b", lower)):
-        found = found.join(mixed, (F.col(line) == F.col("h1")) & (rest == F.col("h2")), "left_anti")
-    return found
+    found = _pair_rows(df, id_col, text_col, how).groupBy("a", "b", "c").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.count("*").alias("n"))
+    return found.where("first_doc < last_doc").drop("last_doc")
 
 
-def _strip_pairs(data: np.ndarray, offs: np.ndarray, gone: list) -> tuple[list[bytes], list[int], list[int]]:
+def _strip_pairs(data: np.ndarray, offs: np.ndarray, gone: list, how: int | str = FAST) -> tuple[list[bytes], list[int], list[int]]:
     """As ``_strip``, without the lines of the pairs in ``gone`` and of pairs that repeat inside."""
-    starts, ends, doc, h1, h2, at = _pairs(data, offs)
+    starts, ends, doc, h1, h2, at = _pairs(data, offs, how)
     raw, away = data.tobytes(), np.zeros(len(starts), bool)
     starts, ends, before, seen = starts.tolist(), ends.tolist(), -1, set()
     for k, d, *key in zip(at.tolist(), doc[at].tolist(), *(x.tolist() for x in _pair_keys(h1, h2, at)), strict=True):
@@ -213,21 +231,30 @@ def _strip_pairs(data: np.ndarray, offs: np.ndarray, gone: list) -> tuple[list[b
     return [b"\n".join(x) for x in kept], np.bincount(doc, minlength=len(gone)).tolist(), np.bincount(doc[away], minlength=len(gone)).tolist()
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_text: str = "text", drop_emptied: bool = False, passages: bool = False) -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_text: str = "text", drop_emptied: bool = False, passages: bool = False, how: int | str = FAST) -> DataFrame:
     """Replace texts by what is left of them and add n_lines and n_removed.
 
     ``drop_emptied`` leaves out documents of which nothing is left; ``passages``
     takes every two neighbouring lines for a chunk.
     """
+    ensure_importable(df.sparkSession)
     if passages:
-        keys, strip_slice, rows = ("a", "b", "c"), _strip_pairs, _pair_rows(df, id_col, text_col)
-        repeated = staged(repeated_pairs(df, id_col, text_col), "pairs")
+        keys = ("a", "b", "c")
+        how = SURE if lines_collide(df, id_col, text_col, how) else how
+        repeated = staged(repeated_pairs(df, id_col, text_col, how), "pairs")
+        strip_slice, rows = partial(_strip_pairs, how=how), _pair_rows(df, id_col, text_col, how)
     else:
-        keys, strip_slice, rows = ("h1", "h2"), _strip, _chunk_rows(df, id_col, text_col, False)
-        repeated = staged(repeated_chunks(df, id_col, text_col), "chunks")
+        keys = ("h1", "h2")
+        repeated = staged(repeated_chunks(df, id_col, text_col, how), "chunks")
+        if not repeated.where("kinds > 1").isEmpty():
+            discard(repeated)
+            how = SURE
+            repeated = staged(repeated_chunks(df, id_col, text_col, how), "chunks")
+        strip_slice, rows = partial(_strip, how=how), _chunk_rows(df, id_col, text_col, how)
+    found_id, gone_col, made_col = unused(df, "__id", "__gone", "__made")
     gone = (
-        rows.join(repeated, list(keys)).where("doc_id > first_doc")
-        .groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct(*keys)).alias("__gone"))
+        salted_join(rows, repeated.select(*keys, "first_doc", "n"), list(keys), ["doc_id"]).where("doc_id > first_doc")
+        .groupBy(F.col("doc_id").alias(found_id)).agg(F.collect_list(F.struct(*keys)).alias(gone_col))
     )
 
     @F.pandas_udf("struct<text: string, n_lines: long, n_removed: long>")
@@ -242,13 +269,13 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ou
         null = texts.isna().tolist()
         return pd.DataFrame({"text": [None if z else t.decode() for t, z in zip(out[0], null, strict=True)], "n_lines": [0 if z else k for k, z in zip(out[1], null, strict=True)], "n_removed": out[2]})
 
-    joined = df.join(gone, df[id_col] == F.col("__id"), "left").drop("__id")
-    made = joined.withColumn("__made", F.when(F.col(id_col).isNotNull(), strip(F.col(text_col), F.col("__gone"))))
+    joined = df.join(gone, df[id_col] == F.col(found_id), "left").drop(found_id)
+    made = joined.withColumn(made_col, F.when(F.col(id_col).isNotNull(), strip(F.col(text_col), F.col(gone_col))))
     keep = [c for c in df.columns if c not in (out_text, "n_lines", "n_removed")]
-    lines = F.coalesce(F.col("__made.n_lines"), F.size(F.split(F.col(text_col), "\n", -1)).cast("long"), F.lit(0).cast("long"))
+    lines = F.coalesce(F.col(f"{made_col}.n_lines"), F.size(F.split(F.col(text_col), "\n", -1)).cast("long"), F.lit(0).cast("long"))
     out = made.select(
         *(F.col(f"`{c}`") for c in keep),
-        F.when(F.col(id_col).isNotNull(), F.col("__made.text")).otherwise(F.col(text_col)).alias(out_text),
-        lines.alias("n_lines"), F.coalesce(F.col("__made.n_removed"), F.lit(0).cast("long")).alias("n_removed"),
+        F.when(F.col(id_col).isNotNull(), F.col(f"{made_col}.text")).otherwise(F.col(text_col)).alias(out_text),
+        lines.alias("n_lines"), F.coalesce(F.col(f"{made_col}.n_removed"), F.lit(0).cast("long")).alias("n_removed"),
     )
     return out.where(f"n_removed = 0 OR `{out_text}` <> ''") if drop_emptied else out

@@ -83,7 +83,16 @@ reach AS (SELECT doc_id AS v, doc_id AS r FROM t UNION SELECT v, b FROM reach JO
 comp AS (SELECT v, min(r) AS c FROM reach GROUP BY v)
 SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, t.doc_id = c AS kept FROM t JOIN comp ON v = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id"""
 
+#: A line is repeated if it and the line after or before it also stand together earlier.
+LINES = r"""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS p FROM t),
+two AS (SELECT doc_id, p, line, lead(line) OVER (PARTITION BY doc_id ORDER BY p) AS following FROM l),
+nth AS (SELECT doc_id, p, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, p) AS n FROM two WHERE following IS NOT NULL),
+c AS (SELECT l.doc_id, l.p, line, coalesce(x.n > 1, false) OR coalesce(y.n > 1, false) AS gone FROM l LEFT JOIN nth x ON x.doc_id = l.doc_id AND x.p = l.p LEFT JOIN nth y ON y.doc_id = l.doc_id AND y.p = l.p - 1),
+k AS (SELECT doc_id, count(*) AS n_lines, count_if(gone) AS n_removed, string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256 FROM documents d LEFT JOIN k USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries whose whole rows it can express; the others rest on trained weights, tokenizers, own hashes or file forms."""
-    return {"op3_substring_dedup": SUBSTRINGS, "op7_minhash_near_dedup": NEAR_DUPLICATES}
+    return {"op3_substring_dedup": SUBSTRINGS, "op5_line_dedup": LINES, "op7_minhash_near_dedup": NEAR_DUPLICATES}

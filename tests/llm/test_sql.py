@@ -26,9 +26,10 @@ def test_sql_of_odd_texts(spark):
     con.register("documents", docs.select("doc_id", "text").toPandas())
     made = {
         "op3_substring_dedup": queries.substrings.substring_dedup(docs).select("doc_id", "dedup.n_words", "dedup.n_removed", "dedup.kept_sha256"),
+        "op5_line_dedup": queries.lines.line_dedup(docs.select("doc_id", "text"), passages=True).selectExpr("doc_id", "n_lines", "n_removed", "sha2(cast(text as binary), 256) AS kept_sha256"),
         "op7_minhash_near_dedup": queries.neardup.near_duplicates(docs, shingle_words=4),
     }
     for name, sql in queries.oracle_sql().items():
         columns = made[name].columns
         want = con.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
-        assert sorted(tuple(r) for r in made[name].collect()) == sorted(want)
+        assert sorted(map(str, (tuple(r) for r in made[name].collect()))) == sorted(map(str, want))
