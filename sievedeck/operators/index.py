@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievedeck.functions.text import INDEX_WORD, tokens
+from sievedeck.functions.text import INDEX_WORD, WORD, tokens
+from sievedeck.session import discard, staged
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -16,14 +18,18 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
-def preprocess(df: DataFrame, text_col: str = "text", normalizer=None, stop_words: list[str] | None = None, lemmas: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
+def preprocess(
+    df: DataFrame, text_col: str = "text", normalizer: Callable[[Column], Column] | None = None, stop_words: list[str] | None = None, lemmas: DataFrame | None = None,
+    id_col: str = "doc_id", tokenizer: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """Normalise, tokenise, drop stop words, then look lemmas up (surface, lemma); a text of words joined by spaces.
 
-    The normaliser is a function of columns; words without a lemma stay. Words are
+    The normaliser and the tokenizer (a text's words as an array; words of letters, digits and
+    underscores by default) are functions of columns; words without a lemma stay. Words are
     matched before lower-casing, as stop words are.
     """
     text = normalizer(F.col(text_col)) if normalizer else F.col(text_col)
-    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    words = tokenizer(text) if tokenizer else F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(list(stop_words)))
     if lemmas is None:
@@ -33,38 +39,69 @@ def preprocess(df: DataFrame, text_col: str = "text", normalizer=None, stop_word
     return df.drop(text_col).join(joined.select(id_col, F.array_join("ws.w", " ").alias(text_col)), id_col)
 
 
+def parse_ranks(text: str | None) -> list[int]:
+    """Ranks from a line of numbers separated by spaces; an empty line is no rank. Others raise ValueError."""
+    ranks = [int(x) for x in (text or "").split()]
+    if min(ranks, default=0) < 0:
+        raise ValueError("ranks start at 0")
+    return ranks
+
+
 @dataclass
 class TfidfIndex:
-    """weights(doc_id, term, tf, w), vocab(term, df, idf) and docs(doc_id); w is normalised by document."""
+    """rows(doc_id, term, tf, x), vocab(term, df, idf) and docs(doc_id).
+
+    ``x`` is tf times idf. An index as built is a plan: a search over it is one aggregation by document,
+    of lengths and products together, and ``rows`` then have a row without a weight for terms outside the
+    vocabulary and for documents without words, so no document is missing from it. A stored one
+    (``staged`` or ``load``) has x divided by the document's length and is searched by term.
+    """
 
-    weights: DataFrame
+    rows: DataFrame
     vocab: DataFrame
     docs: DataFrame
+    stored: bool = False
 
     @classmethod
     def build(cls, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_df: int = 1, max_df: float = 1.0) -> TfidfIndex:
         docs = spread(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL"), "doc_id")
-        tf = docs.select("doc_id", F.explode(tokens(F.col("text"), INDEX_WORD)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+        tf = docs.select("doc_id", F.explode_outer(tokens(F.col("text"), INDEX_WORD)).alias("term")).groupBy("doc_id", "term").agg(F.count("term").alias("tf"))
         size = docs.agg(F.count("*").alias("n"))  # one row
-        vocab = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
+        vocab = tf.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
         vocab = vocab.select("term", "df", (F.log((1 + F.col("n")).cast("double") / (1 + F.col("df"))) + 1).alias("idf"))
-        raw = tf.join(vocab, "term").select("doc_id", "term", "tf", (F.col("tf") * F.col("idf")).alias("w"))
-        norm = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        weights = raw.join(norm, "doc_id").select("doc_id", "term", "tf", (F.col("w") / F.col("norm")).alias("w"))
-        return cls(weights, vocab, docs.select("doc_id"))
-
-    def persist(self) -> TfidfIndex:
-        self.weights.persist()
-        self.vocab.persist()
-        return self
+        rows = tf.join(vocab, "term", "left").select("doc_id", "term", "tf", (F.col("tf") * F.col("idf")).alias("x"))
+        return cls(rows, vocab, docs.select("doc_id"))
+
+    @property
+    def weights(self) -> DataFrame:
+        """doc_id, term, tf, w of all terms of the vocabulary; w is normalised by document."""
+        if self.stored:
+            return self.rows.withColumnRenamed("x", "w")
+        length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id")))
+        return self.rows.where("x IS NOT NULL").select("doc_id", "term", "tf", (F.col("x") / length).alias("w"))
+
+    def _tables(self) -> dict[str, DataFrame]:
+        return {"weights": self.weights, "vocab": self.vocab, "docs": self.docs}
+
+    def staged(self) -> TfidfIndex:
+        """The index written to the shared folder, for several searches; see ``discard``."""
+        made = {name: staged(table, name) for name, table in self._tables().items()}
+        out = TfidfIndex(made["weights"].withColumnRenamed("w", "x"), made["vocab"], made["docs"], True)
+        out._staged = list(made.values())
+        return out
+
+    def discard(self) -> None:
+        """Delete what ``staged`` wrote."""
+        discard(*self.__dict__.pop("_staged", ()))
 
     def save(self, path: str) -> None:
-        for name in ("weights", "vocab", "docs"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        for name, table in self._tables().items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TfidfIndex:
-        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("weights", "vocab", "docs")))
+        weights, vocab, docs = (spark.read.parquet(f"{path}/{name}") for name in ("weights", "vocab", "docs"))
+        return cls(weights.withColumnRenamed("w", "x"), vocab, docs, True)
 
     def query_vectors(self, queries: DataFrame) -> DataFrame:
         """query_id, term, w (normalised) of queries(query_id, text); words outside the vocabulary are dropped."""
@@ -75,18 +112,17 @@ class TfidfIndex:
 
     def query_vector(self, text: str) -> DataFrame:
         """term, w of one query."""
-        one = self.weights.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.lit(text).alias("text"))
+        one = self.rows.sparkSession.range(1).select(F.lit(0).alias("query_id"), F.lit(text).alias("text"))
         return self.query_vectors(one).select("term", "w")
 
-    def scores(self, vector: DataFrame) -> DataFrame:
-        """doc_id, score (cosine, rounded to 6) of the documents that share a term with the vector (term, w)."""
-        length = vector.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qnorm"))  # one row
-        dots = self.weights.join(vector.select("term", F.col("w").alias("qw")), "term").groupBy("doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-        return dots.crossJoin(F.broadcast(length)).select("doc_id", F.round(F.coalesce(F.try_divide("dot", "qnorm"), F.lit(0.0)), 6).alias("score"))
-
     def rank_all(self, vector: DataFrame) -> DataFrame:
-        """doc_id, score of every document, 0 where nothing matches."""
-        return self.docs.join(self.scores(vector), "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+        """doc_id, score (cosine with the vector (term, w), rounded to 6) of every document, 0 where nothing matches."""
+        length = vector.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qnorm"))  # one row
+        met = self.rows.join(vector.select("term", F.col("w").alias("qw")), "term", "inner" if self.stored else "left")
+        own = F.lit(1.0) if self.stored else F.sqrt(F.sum(F.col("x") * F.col("x")))
+        dots = met.groupBy("doc_id").agg(F.sum(F.col("x") * F.col("qw")).alias("dot"), own.alias("length")).crossJoin(F.broadcast(length))
+        scores = dots.select("doc_id", F.round(F.coalesce(F.try_divide("dot", F.col("length") * F.col("qnorm")), F.lit(0.0)), 6).alias("score"))
+        return self.docs.join(scores, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score")) if self.stored else scores
 
     def top(self, vector: DataFrame, k: int) -> DataFrame:
         """rank (from 0), doc_id, score of the first k, by score and then greater id."""
@@ -105,12 +141,12 @@ class TfidfIndex:
         """
         vectors = self.query_vectors(queries)
         scored = self.weights.join(vectors.select("query_id", "term", F.col("w").alias("qw")), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id"))
-        first = scored.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).drop("rank")
+        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id")))
+        first = scored.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
         last = self.docs.orderBy(F.desc("doc_id")).limit(2 * k)  # of these, k at least are not among a query's first k
-        padding = queries.select("query_id").crossJoin(F.broadcast(last)).join(first.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
-        both = first.unionByName(padding.select("query_id", "doc_id", "score"))
-        return both.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k).select("query_id", "rank", "doc_id", "score")
+        padding = queries.select("query_id").crossJoin(F.broadcast(last)).withColumn("score", F.lit(0.0))
+        both = first.unionByName(padding.select("query_id", "doc_id", "score")).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
+        return both.withColumn("nth", nth).where(F.col("nth") <= k).select("query_id", (F.col("nth") - 1).alias("rank"), "doc_id", "score")
 
     def centroid(self, marked: DataFrame) -> DataFrame:
         """term, w: the mean vector of the marked documents, missing terms as zeros."""
@@ -126,13 +162,14 @@ class TfidfIndex:
                 parts = parts.unionByName(self.centroid(marked).select("term", (factor * F.col("w")).alias("w")))
         return parts.groupBy("term").agg(F.sum("w").alias("w"))
 
-    def feedback_search(self, text: str, relevant_ranks: list[int], non_relevant_ranks: list[int], k: int = 5) -> DataFrame:
-        """Search, mark ranks (from 0) of the first result, move the query, search again."""
-        if min([0, *relevant_ranks, *non_relevant_ranks]) < 0:
+    def feedback_search(self, text: str, relevant_ranks: list[int] | str, non_relevant_ranks: list[int] | str, k: int = 5) -> DataFrame:
+        """Search, mark ranks (from 0; lists, or lines of numbers) of the first result, move the query, search again."""
+        marks = [parse_ranks(x) if isinstance(x, str) else x for x in (relevant_ranks, non_relevant_ranks)]
+        if min([0, *marks[0], *marks[1]]) < 0:
             raise ValueError("ranks start at 0")
         vector = self.query_vector(text)
-        first = self.top(vector, max([-1, *relevant_ranks, *non_relevant_ranks]) + 1) if relevant_ranks or non_relevant_ranks else None
-        marked = [first.where(F.col("rank").isin(ranks)) if ranks else None for ranks in (relevant_ranks, non_relevant_ranks)]
+        first = self.top(vector, max([*marks[0], *marks[1]]) + 1) if marks[0] or marks[1] else None
+        marked = [first.where(F.col("rank").isin(ranks)) if ranks else None for ranks in marks]
         return self.top(self.rocchio(vector, *marked), k)
 
 

@@ -8,35 +8,92 @@ from pyspark.sql import functions as F
 from sievedeck.functions.text import strip, tokens
 from sievedeck.operators.index import spread
 
-HIDDEN = r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<![^>]*>"
-HREF = r"""(?is)<a\s[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+# A tag's inside: quoted values may hold ">". Possessive, so that broken mark-up costs no backtracking.
+INSIDE = r"""(?:"[^"]*+"|'[^']*+'|[^'">]++)*+"""
+HIDDEN = rf"(?is)<(script|style)\b{INSIDE}>.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)|<[!?][^>]*>"
+TAG = rf"(?s)</?[a-zA-Z]{INSIDE}>"
+LINK = rf"(?is)<a\s{INSIDE}>"
+ATTRIBUTE = r"""(?is)^<a\s(?:[^"'>]*?(?:"[^"]*+"|'[^']*+'))*?[^"'>]*?(?<![^\s"'/])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+SOURCE = rf"""(?is)<script(?=[\s/])(?:[^"'>]*?(?:"[^"]*+"|'[^']*+'))*?[^"'>]*?(?<![^\s"'/])src\s*="""
+
+
+def _entity_table() -> str:
+    """The named entities, from the standard library, as JSON; with ";" and, for those that may lack it, without."""
+    import json
+    from html.entities import html5
+
+    return json.dumps(html5)
+
+
+def _legacy_names() -> str:
+    """A pattern of the names that need no ";", longest first."""
+    from html.entities import html5
+
+    return "|".join(sorted((name for name in html5 if not name.endswith(";")), key=len, reverse=True))
+
+
+def _code_point(number: Column) -> Column:
+    """The character of a numeric reference: Windows-1252 from 128 to 159, nothing for controls and non-characters."""
+    windows = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)}
+    table = F.from_json(F.lit(__import__("json").dumps({str(n): c for n, c in windows.items()})), "map<string,string>")
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    control = number.between(1, 8) | number.between(14, 31) | (number == 11) | (number == 127) | number.between(0xFDD0, 0xFDEF) | (F.pmod(number, F.lit(65536)) >= 65534)
+    return (
+        F.when(number.isNull() | (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), "�")
+        .when(number.between(128, 159), F.element_at(table, number.cast("string"))).when(control, "").otherwise(plain)
+    )
 
 
 def decode_entities(text: Column) -> Column:
-    """Named entities of mark-up and print, and decimal ones of ASCII; the ampersand last."""
-    for name, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("middot", "·"), ("copy", "©"), ("#39", "'"), ("#34", '"'), ("#38", "&"), ("amp", "&")):
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(value))
-    return text
+    """Character references, named and numeric, as browsers read them; other ampersands stay.
+
+    Most texts have the five of mark-up only, or none, and take the short ways.
+    """
+    table, legacy = F.from_json(F.lit(_entity_table()), "map<string,string>"), _legacy_names()
+
+    def one(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;)", 1)
+        number = F.regexp_extract(name, r"^#0*([0-9]{1,9});?$", 1)
+        hexadecimal = F.regexp_extract(name, r"^#[xX]0*([0-9a-fA-F]{1,8});?$", 1)
+        # Longer numbers are beyond all code points; a reference of zeros alone is number 0.
+        value = F.when(number != "", number.cast("long")).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("long")).when(name.rlike("^#[xX]?0+;?$"), F.lit(0).cast("long"))
+        known = F.element_at(table, name)
+        old = F.regexp_extract(part, f"^({legacy})", 1)
+        rest = lambda used: F.substr(part, F.char_length(used) + 1)
+        return (
+            F.when(F.startswith(name, F.lit("#")), F.concat(_code_point(value), rest(name)))
+            .when((name != "") & known.isNotNull(), F.concat(known, rest(name)))
+            .when(old != "", F.concat(F.element_at(table, old), rest(old)))
+            .otherwise(F.concat(F.lit("&"), part))
+        )
+
+    parts = F.split(text, "&")
+    whole = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
+    short = text
+    for name, value in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("amp", "&")):
+        short = F.replace(short, F.lit(f"&{name};"), F.lit(value))
+    return F.when(~F.contains(text, F.lit("&")), text).when(~text.rlike("&(?!(?:lt|gt|quot|nbsp|amp);)[#a-zA-Z]"), short).otherwise(whole)
 
 
 def text_length(html: Column) -> Column:
     """Characters of the stripped text nodes; scripts, styles and comments are no text."""
-    nodes = F.split(F.regexp_replace(html, HIDDEN, "<x>"), "<[^>]*>")
+    nodes = F.split(F.regexp_replace(html, HIDDEN, "<x>"), TAG)
     return F.aggregate(nodes, F.lit(0).cast("long"), lambda n, node: n + F.char_length(strip(decode_entities(node))))
 
 
 def page_text(html: Column) -> Column:
     """Text with a space for each tag."""
-    return decode_entities(F.regexp_replace(F.regexp_replace(html, HIDDEN, "<x>"), r"(?s)<[^>]*>", " "))
+    return decode_entities(F.regexp_replace(F.regexp_replace(html, HIDDEN, "<x>"), TAG, " "))
 
 
 def hrefs(html: Column) -> Column:
     """Targets of the links that have one, quoted either way or not at all."""
-    return F.transform(F.regexp_extract_all(html, F.lit(HREF), F.lit(0)), lambda tag: decode_entities(F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?([^"'>]*)["']?$""", 1)))
+    tags = F.filter(F.regexp_extract_all(F.regexp_replace(html, HIDDEN, "<x>"), F.lit(LINK), F.lit(0)), lambda tag: tag.rlike(ATTRIBUTE))
+    return F.transform(tags, lambda tag: decode_entities(F.concat(*(F.regexp_extract(tag, ATTRIBUTE, k) for k in (1, 2, 3)))))
 
 
 def is_dynamic(html: Column) -> Column:
-    return F.contains(F.lower(html), F.lit("ajax")) | html.rlike(r"(?is)<script\b[^>]*\bsrc\s*=")
+    return F.contains(F.lower(html), F.lit("ajax")) | F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "").rlike(SOURCE)
 
 
 def page_profile(pages: DataFrame, key: str = "url", html_col: str = "html", error_col: str | None = None) -> DataFrame:
@@ -82,15 +139,20 @@ def keyword_stuffing(df: DataFrame, key: str = "doc_id", text_col: str = "text",
 
 
 def cloaking_check(normal: DataFrame, bot: DataFrame, key: str = "url", body_col: str = "body", threshold: float = 0.10, preview: int = 500) -> DataFrame:
-    """key, status (ok, error, empty_normal), lengths, ratio, suspicious, previews, from two snapshots of each page."""
+    """key, status (ok, error, empty_normal), lengths, ratio, suspicious, previews, report, from two snapshots of each page."""
     a = normal.select(key, strip(F.col(body_col)).alias("x"))
     b = bot.select(key, strip(F.col(body_col)).alias("y"))
     n, m = F.char_length("x"), F.char_length("y")
     ratio = F.try_divide(F.abs(n - m).cast("double"), n)
     status = F.when(F.col("x").isNull() | F.col("y").isNull(), "error").when(n == 0, "empty_normal").otherwise("ok")
+    found = F.when(ratio > threshold, f"more than {threshold:.0%} apart, which may be cloaking").otherwise("no large difference")
+    report = (
+        F.when(status == "error", "a response is missing").when(status == "empty_normal", "the normal response is empty")
+        .otherwise(F.concat_ws("\n", F.format_string("normal response: %d characters", n), F.format_string("response for bots: %d characters", m), F.format_string("difference: %.2f%%", ratio * 100), found))
+    )
     return a.join(b, key, "full").select(
         key, status.alias("status"), n.cast("long").alias("len_normal"), m.cast("long").alias("len_bot"), ratio.alias("ratio"), F.coalesce(ratio > threshold, F.lit(False)).alias("suspicious"),
-        F.substring("x", 1, preview).alias("normal_preview"), F.substring("y", 1, preview).alias("bot_preview"),
+        F.substring("x", 1, preview).alias("normal_preview"), F.substring("y", 1, preview).alias("bot_preview"), report.alias("report"),
     )
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievedeck.functions.text import jaccard, tokens, word_grams
 from sievedeck.operators.index import spread
+from sievedeck.session import staged
 
 PERMUTATIONS, PRIME = 50, (1 << 31) - 1
 
@@ -19,12 +21,12 @@ def constants(n: int = PERMUTATIONS, seed: int = 1) -> list[tuple[int, int]]:
     return [(r.randrange(1, PRIME), r.randrange(PRIME)) for _ in range(n)]
 
 
-def shingle_rows(df: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, gram: the distinct k-word shingles of each document."""
+def shingle_rows(df: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: str = "text", joiner: str = " ") -> DataFrame:
+    """doc_id, gram: the distinct k-word shingles of each document, words joined by ``joiner``."""
     docs = spread(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
     # Words are a column of their own: inside the lambda of word_grams they would be cut anew for each gram.
     words = docs.select("doc_id", tokens(F.col("text")).alias("words"))
-    return words.select("doc_id", F.explode(F.array_distinct(word_grams(F.col("words"), k))).alias("gram"))
+    return words.select("doc_id", F.explode(F.array_distinct(word_grams(F.col("words"), k, joiner))).alias("gram"))
 
 
 def shingle_pairs(df: DataFrame, threshold: float = 0.6, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -35,9 +37,12 @@ def shingle_pairs(df: DataFrame, threshold: float = 0.6, k: int = 3, id_col: str
     """
     rows = shingle_rows(df, k, id_col, text_col)
     frequency = rows.groupBy("gram").agg(F.count("*").alias("f"))
-    sets = rows.join(frequency.where("f > 1"), "gram", "left").groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", F.xxhash64("gram").alias("h"), "gram")))).alias("s")
-    ).persist()
+    sets = staged(
+        rows.join(frequency.where("f > 1"), "gram", "left").groupBy("doc_id").agg(
+            F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", F.xxhash64("gram").alias("h"), "gram")))).alias("s")
+        ),
+        "sets",
+    )
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
     unique = F.col("n") - F.size("s")  # shingles of one document alone are the rarest of all
     prefix = sets.withColumn("p", F.greatest(F.lit(0), keep - unique).cast("int")).select("doc_id", "n", F.explode(F.slice("s", F.lit(1), F.col("p"))).alias("g")).select("doc_id", "n", "g.gram")
@@ -85,6 +90,22 @@ def band_rows(sigs: DataFrame, edges: list[int]) -> DataFrame:
     return sigs.select("doc_id", F.explode(F.array(*bands)).alias("x")).select("doc_id", "x.band", "x.bucket")
 
 
+def signature_classes(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The signatures once each (doc_id, the least that has it, and sig), and doc_id, rep of every document."""
+    classes = sigs.groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    return classes.select(F.col("rep").alias("doc_id"), "sig"), sigs.join(classes, "sig").select("doc_id", "rep")
+
+
+def expand_classes(pairs: DataFrame, members: DataFrame, within: Column) -> DataFrame:
+    """a, b, matches of documents from those of classes: every pair across two paired classes and inside each class.
+
+    Equal documents are first paired here, after all joins on buckets, so copies cost their output alone.
+    """
+    across = pairs.join(members.toDF("x", "a"), "a").join(members.toDF("y", "b"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "matches")
+    same = members.toDF("a", "rep").join(members.toDF("b", "rep"), "rep").where("a < b").select("a", "b", within.alias("matches"))
+    return across.unionByName(same)
+
+
 def _candidates(sigs: DataFrame, edges: list[int]) -> DataFrame:
     rows = band_rows(sigs, edges)
     return rows.toDF("a", "band", "bucket").join(rows.toDF("b", "band", "bucket"), ["band", "bucket"]).where("a < b").select("a", "b").distinct()
@@ -97,12 +118,13 @@ def _agreeing(sigs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def lsh_candidates(sigs: DataFrame, bands: int = 5, rows: int = 10) -> DataFrame:
     """a, b of the pairs that share a bucket."""
-    return _candidates(sigs, [i * rows for i in range(bands + 1)])
+    return lsh_pairs(sigs, bands, rows).select("a", "b")
 
 
-def lsh_pairs(sigs: DataFrame, bands: int = 5, rows: int = 10, verify_matches: int | None = None) -> DataFrame:
+def lsh_pairs(sigs: DataFrame, bands: int = 5, rows: int = 10, verify_matches: int | None = None, permutations: int = PERMUTATIONS) -> DataFrame:
     """a, b, matches of the candidates; below the threshold too, unless verify_matches is given."""
-    out = _agreeing(sigs, lsh_candidates(sigs, bands, rows))
+    reps, members = signature_classes(sigs)
+    out = expand_classes(_agreeing(reps, _candidates(reps, [i * rows for i in range(bands + 1)])), members, F.lit(permutations))
     return out if verify_matches is None else out.where(F.col("matches") >= verify_matches)
 
 
@@ -114,7 +136,24 @@ def signature_pairs(sigs: DataFrame, least: int, permutations: int = PERMUTATION
     """
     parts = permutations - least + 1
     edges = [i * permutations // parts for i in range(parts + 1)]
-    return _agreeing(sigs, _candidates(sigs, edges)).where(F.col("matches") >= least)
+    reps, members = signature_classes(sigs)
+    return expand_classes(_agreeing(reps, _candidates(reps, edges)).where(F.col("matches") >= least), members, F.lit(permutations))
+
+
+def signature_of(sigs: DataFrame, doc_id) -> DataFrame:
+    """The signature of one document, looked up by its id."""
+    return sigs.where(F.col("doc_id") == F.lit(doc_id)).select("doc_id", "sig")
+
+
+def list_pairs(pairs: DataFrame, n: int = 10) -> DataFrame:
+    """The first n pairs by a, then b."""
+    return pairs.orderBy("a", "b").limit(n)
+
+
+def timed_pairs(pairs: DataFrame) -> tuple[int, float]:
+    """How many pairs there are, and the seconds it took to find them all."""
+    began = time.perf_counter()
+    return pairs.count(), time.perf_counter() - began
 
 
 def similarity_graph(pairs: DataFrame, permutations: int = PERMUTATIONS, least: int = 36) -> tuple[DataFrame, DataFrame]:

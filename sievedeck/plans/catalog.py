@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sievedeck.functions import text as T
 from sievedeck.operators import fuzzy, pages, shingles
-from sievedeck.operators.index import TfidfIndex, spread
+from sievedeck.operators.index import TfidfIndex, positions, spread
+from sievedeck.session import staged
 from sievedeck.sources import files
 
 QUERY = "the worthless clown and the idiot of the region"
@@ -141,16 +142,16 @@ f AS (SELECT b.item_id, docs.doc_id, round(coalesce(score, 0), 6) AS score FROM
 r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) - 1 AS rank FROM f)
 SELECT item_id AS query_id, rank::INT AS rank, doc_id, score FROM r WHERE rank < 10""")
 def search_batch(spark, sf_dir):
-    return _index(spark, sf_dir).persist().search_batch(_t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+    return _index(spark, sf_dir).search_batch(_t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
 
 
 def _feedback(spark, sf_dir, relevant, other):
-    return _index(spark, sf_dir).persist().feedback_search(QUERY, relevant, other, 5)
+    return _index(spark, sf_dir).staged().feedback_search(QUERY, relevant, other, 5)
 
 
 @query(FIRST + _rocchio_sql("0, 2", "1, 3") + " SELECT term, round(w, 6) + 0.0 AS w FROM moved")
 def rocchio_query_vector(spark, sf_dir):
-    index = _index(spark, sf_dir).persist()
+    index = _index(spark, sf_dir).staged()
     vector = index.query_vector(QUERY)
     first = index.top(vector, 4)
     return index.rocchio(vector, first.where("rank IN (0, 2)"), first.where("rank IN (1, 3)")).select("term", (F.round("w", 6) + 0.0).alias("w"))
@@ -196,20 +197,48 @@ def edit_ratio_lcs(spark, sf_dir):
     return _names(spark, sf_dir).select("category", F.round(T.indel_ratio(F.col("category"), MISSPELT), 6).alias("ratio"))
 
 
-@query()
+# Longest common block of two ranges, the first in s and then in t of equals, as [length, -place in s, -place in t].
+_BLOCK = """(list_sort(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j:
+  [len(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda n: substr(s, i + 1, n) = substr(t, j + 1, n))), -i, -j]))), 'DESC', 'NULLS LAST')[1])"""
+
+
+def _matched_sql(other: str) -> str:
+    """Names s and how many characters lie in the blocks that they have in common with a string t."""
+    return f"""blocks(s, t, alo, ahi, blo, bhi, b) AS (
+  SELECT s, t, alo, ahi, blo, bhi, {_BLOCK} FROM (SELECT category AS s, '{other}' AS t, 0 AS alo, length(category) AS ahi, 0 AS blo, length('{other}') AS bhi FROM c)
+  UNION ALL
+  SELECT s, t, alo, ahi, blo, bhi, {_BLOCK} FROM (
+    SELECT s, t, CASE WHEN after THEN b[1] - b[2] ELSE alo END AS alo, CASE WHEN after THEN ahi ELSE -b[2] END AS ahi, CASE WHEN after THEN b[1] - b[3] ELSE blo END AS blo, CASE WHEN after THEN bhi ELSE -b[3] END AS bhi
+    FROM blocks, (VALUES (false), (true)) side(after) WHERE b[1] > 0) WHERE alo < ahi AND blo < bhi),
+matched AS (SELECT s, coalesce(sum(b[1]), 0) AS m, 2.0::DOUBLE * coalesce(sum(b[1]), 0) / (length(s) + length(any_value(t))) AS r FROM blocks GROUP BY s)"""
+
+
+NAMES = "c AS (SELECT DISTINCT p_name AS category FROM part WHERE p_name IS NOT NULL)"
+
+
+@query(f"WITH RECURSIVE {NAMES}, {_matched_sql(MISSPELT)} SELECT s AS category, round(r, 6) AS ratio FROM matched")
 def sequence_ratio(spark, sf_dir):
     return _names(spark, sf_dir).select("category", F.round(fuzzy.sequence_ratio(MISSPELT)(F.col("category")), 6).alias("ratio"))
 
 
-@query()
+WANTED = "small ring"
+
+
+@query(rf"""WITH RECURSIVE {NAMES}, {_matched_sql(WANTED)},
+g AS (SELECT category, {GRAMS.format("category")} AS a, {GRAMS.format("'" + WANTED + "'")} AS b FROM c),
+v AS (SELECT word, embedding FROM (SELECT word, row_number() OVER (ORDER BY word) - 1 AS vec_id FROM (SELECT DISTINCT unnest(string_split(category, ' ')) AS word FROM c)) JOIN embeddings USING (vec_id)),
+told AS (SELECT category AS t FROM c UNION SELECT '{WANTED}'),
+x AS (SELECT t, d, avg(embedding[d]::DOUBLE) AS x FROM (SELECT t, unnest(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+')) AS word FROM told) JOIN v USING (word), range(1, 65) dims(d) GROUP BY t, d),
+cosines AS (SELECT y.t, sum(y.x * z.x) / (sqrt(sum(y.x * y.x)) * sqrt(sum(z.x * z.x))) AS semantic FROM x y JOIN x z ON z.t = '{WANTED}' AND z.d = y.d GROUP BY y.t),
+parts AS (SELECT category, coalesce(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))), 0) AS k_gram, -r AS noise, coalesce(semantic, 0) AS semantic, round_even(100 * r, 0) / 100 AS sound FROM g JOIN matched ON s = category LEFT JOIN cosines ON t = category)
+SELECT category AS query, round(0.25 * (k_gram + noise + sound + semantic), 4) + 0.0 AS final_score, round(k_gram, 4) AS k_gram, round(noise, 4) + 0.0 AS noise, round(semantic, 4) + 0.0 AS semantic, round(sound, 4) AS sound FROM parts""")
 def fuzzy_features(spark, sf_dir):
     """The embeddings table stands in for word vectors: the n-th distinct word has the n-th vector."""
     names = _names(spark, sf_dir)
-    from pyspark.sql import Window
-
-    words = names.select(F.explode(F.split("category", " ")).alias("word")).distinct().withColumn("vec_id", (F.row_number().over(Window.orderBy("word")) - 1).cast("long"))
+    words = positions(names.select(F.explode(F.split("category", " ")).alias("word")).distinct(), "word").withColumnRenamed("doc_id", "vec_id")
     vectors = words.join(_t(spark, sf_dir, "embeddings"), "vec_id").select("word", F.col("embedding").alias("vector"))
-    return fuzzy.fuzzy_features(names, "small ring", vectors=vectors)
+    made = fuzzy.fuzzy_features(names, WANTED, vectors=vectors)
+    return made.select("query", (F.col("final_score") + 0.0).alias("final_score"), "k_gram", (F.col("noise") + 0.0).alias("noise"), (F.col("semantic") + 0.0).alias("semantic"), "sound")
 
 
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT v AS u FROM e WHERE vec_id = 0),
@@ -257,24 +286,28 @@ def page_features(spark, sf_dir):
     return pages.page_features(_t(spark, sf_dir, "pages"))
 
 
-@query()
-def page_clusters(spark, sf_dir):
-    features = pages.page_features(_t(spark, sf_dir, "pages")).persist()
-    return pages.cluster_pages(features, ["word_count", "mode_freq", "http_links"])
-
-
-def _lloyd_sql(iterations: int) -> str:
-    steps = "c0 AS (SELECT min(word_count)::DOUBLE AS a1, min(mode_freq)::DOUBLE AS a2, max(word_count)::DOUBLE AS b1, max(mode_freq)::DOUBLE AS b2 FROM feat)"
+def _lloyd_sql(iterations: int, columns: list[str]) -> str:
+    centre = lambda f, g: ", ".join(f"{f(c)} AS {g}_{c}" for c in columns)
+    away = lambda g: " + ".join(f"({c} - {g}_{c}) * ({c} - {g}_{c})" for c in columns)
+    steps = f"c0 AS (SELECT {centre(lambda c: f'min({c})::DOUBLE', 'a')}, {centre(lambda c: f'max({c})::DOUBLE', 'b')} FROM feat)"
     for i in range(iterations + 1):
-        steps += f", l{i} AS (SELECT page_id, word_count, mode_freq, CASE WHEN (word_count - b1) * (word_count - b1) + (mode_freq - b2) * (mode_freq - b2) < (word_count - a1) * (word_count - a1) + (mode_freq - a2) * (mode_freq - a2) THEN 1 ELSE 0 END AS k FROM feat, c{i})"
+        steps += f", l{i} AS MATERIALIZED (SELECT page_id, {', '.join(columns)}, CASE WHEN {away('b')} < {away('a')} THEN 1 ELSE 0 END AS k FROM feat, c{i})"
         if i < iterations:
-            steps += f", c{i + 1} AS (SELECT avg(CASE WHEN k = 0 THEN word_count END) AS a1, avg(CASE WHEN k = 0 THEN mode_freq END) AS a2, avg(CASE WHEN k = 1 THEN word_count END) AS b1, avg(CASE WHEN k = 1 THEN mode_freq END) AS b2 FROM l{i})"
-    return f"WITH {FEATURES}, {steps} SELECT page_id, word_count, mode_freq, k::INT AS cluster FROM l{iterations}"
+            mean = lambda g: lambda c: f"avg(CASE WHEN k = {g} THEN {c} END)"
+            steps += f", c{i + 1} AS MATERIALIZED (SELECT {centre(mean(0), 'a')}, {centre(mean(1), 'b')} FROM l{i})"
+    return f"WITH {FEATURES}, {steps} SELECT page_id, {', '.join(columns)}, k::INT AS cluster FROM l{iterations}"
+
+
+@query(_lloyd_sql(20, ["word_count", "mode_freq", "http_links"]))
+def page_clusters(spark, sf_dir):
+    """K-means of two clusters; the SQL comes to the same by Lloyd steps from the columns' extremes."""
+    features = staged(pages.page_features(_t(spark, sf_dir, "pages")), "features")
+    return pages.cluster_pages(features, ["word_count", "mode_freq", "http_links"])
 
 
-@query(_lloyd_sql(8))
+@query(_lloyd_sql(8, ["word_count", "mode_freq"]))
 def page_clusters_lloyd(spark, sf_dir):
-    features = pages.page_features(_t(spark, sf_dir, "pages")).select("page_id", "word_count", "mode_freq").persist()
+    features = staged(pages.page_features(_t(spark, sf_dir, "pages")).select("page_id", "word_count", "mode_freq"), "features")
     return pages.lloyd(features, ["word_count", "mode_freq"])
 
 
@@ -329,49 +362,50 @@ ls AS (SELECT a, b, {_MATCH} AS matches FROM cd JOIN sg x ON x.doc_id = a JOIN s
 
 
 def _sigs(spark, sf_dir):
-    return shingles.minhash_signatures(_t(spark, sf_dir, "documents"), short_docs="drop")
+    return staged(shingles.minhash_signatures(_t(spark, sf_dir, "documents"), short_docs="drop"), "signatures")
 
 
 @query(f"WITH {_SIG} SELECT doc_id, array_to_string(s, ',') AS sig FROM sg")
 def minhash_signatures(spark, sf_dir):
     """Documents without a gram are left out here (short_docs="drop")."""
-    return _sigs(spark, sf_dir).select("doc_id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
+    sigs = shingles.minhash_signatures(_t(spark, sf_dir, "documents"), short_docs="drop")
+    return sigs.select("doc_id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
 
 
 @query(f"WITH {_SIG}, {_BRUTE} SELECT a, b, matches FROM br")
 def minhash_pairs(spark, sf_dir):
-    return shingles.signature_pairs(_sigs(spark, sf_dir).persist(), 36)
+    return shingles.signature_pairs(_sigs(spark, sf_dir), 36)
 
 
 @query(f"WITH {_SIG}, {_BRUTE} SELECT a, b, matches / 50.0::DOUBLE AS weight FROM br")
 def similarity_edges(spark, sf_dir):
-    return shingles.similarity_graph(shingles.signature_pairs(_sigs(spark, sf_dir).persist(), 36))[0]
+    return shingles.similarity_graph(shingles.signature_pairs(_sigs(spark, sf_dir), 36))[0]
 
 
 @query(f"WITH {_SIG}, {_BRUTE} SELECT v, count(*)::BIGINT AS degree FROM (SELECT a AS v FROM br UNION ALL SELECT b FROM br) GROUP BY v")
 def similarity_degree(spark, sf_dir):
-    return shingles.similarity_graph(shingles.signature_pairs(_sigs(spark, sf_dir).persist(), 36))[1]
+    return shingles.similarity_graph(shingles.signature_pairs(_sigs(spark, sf_dir), 36))[1]
 
 
 @query(f"WITH {_SIG}, {_LSH} SELECT a, b FROM cd")
 def lsh_candidates(spark, sf_dir):
-    return shingles.lsh_candidates(_sigs(spark, sf_dir).persist())
+    return shingles.lsh_candidates(_sigs(spark, sf_dir))
 
 
 @query(f"WITH {_SIG}, {_LSH} SELECT a, b, matches FROM ls")
 def lsh_pairs(spark, sf_dir):
-    return shingles.lsh_pairs(_sigs(spark, sf_dir).persist())
+    return shingles.lsh_pairs(_sigs(spark, sf_dir))
 
 
 @query(f"WITH {_SIG}, {_BRUTE} SELECT a, b, matches FROM br WHERE matches >= 40")
 def bruteforce_pairs(spark, sf_dir):
-    return shingles.signature_pairs(_sigs(spark, sf_dir).persist(), 40)
+    return shingles.signature_pairs(_sigs(spark, sf_dir), 40)
 
 
 @query(f"""WITH {_SIG}, {_BRUTE}, {_LSH}, b40 AS (SELECT a, b FROM br WHERE matches >= 40)
 SELECT (SELECT count(*) FROM ls)::BIGINT AS n_lsh, (SELECT count(*) FROM b40)::BIGINT AS n_brute, (SELECT count(*) FROM (SELECT a, b FROM b40 EXCEPT SELECT a, b FROM ls))::BIGINT AS missed, (SELECT count(*) FROM (SELECT a, b FROM ls EXCEPT SELECT a, b FROM b40))::BIGINT AS extra""")
 def lsh_vs_bruteforce(spark, sf_dir):
-    sigs = _sigs(spark, sf_dir).persist()
+    sigs = _sigs(spark, sf_dir)
     both = shingles.lsh_candidates(sigs).withColumn("l", F.lit(1)).join(shingles.signature_pairs(sigs, 40).select("a", "b", F.lit(1).alias("r")), ["a", "b"], "full")
     count = lambda c, name: F.count(F.when(c, 1)).alias(name)
     l, r = F.col("l").isNotNull(), F.col("r").isNotNull()

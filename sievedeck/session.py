@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _MADE: list[tuple[SparkSession, str]] = []
 
 
@@ -32,14 +34,17 @@ def build_session(app: str = "sievedeck", master: str | None = None, cores: int
     )
 
 
-def ensure_importable(spark: SparkSession) -> None:
-    """Let Python workers import this package when the repository is not installed.
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole documents small, where the session has Spark's default of 10,000 rows.
 
-    Also keeps Arrow batches of whole documents small, where the session has Spark's default of
-    10,000 rows: both the JVM and the worker hold a batch outside the heap.
+    Both the JVM and the worker hold a batch outside the heap. Queries and pipelines over whole documents ask for it.
     """
     if spark.conf.get(BATCH, "10000") == "10000":
         spark.conf.set(BATCH, "1000")
+
+
+def ensure_importable(spark: SparkSession) -> None:
+    """Let Python workers import this package when the repository is not installed."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if root not in paths:
@@ -49,12 +54,16 @@ def ensure_importable(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    A temporary folder is made only where the setting is absent (tests, local mode).
+    Where the setting is absent, local mode (tests) gets a temporary folder; a cluster gets an error.
     """
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", "")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sievedeck-"))
+        if not named:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="sievedeck-")
+        spark.sparkContext.setCheckpointDir(named)
     return context.getCheckpointDir().get()
 
 
@@ -66,9 +75,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sievedeck-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _MADE.append((spark, path))
-    release(spark)
     made = spark.read.schema(df.schema).parquet(path)
     made._staged_path = path
     return made
@@ -80,14 +89,18 @@ def discard(*tables: DataFrame) -> None:
         _delete(table.sparkSession, table._staged_path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of jobs that are over.
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files: Spark deletes those of an execution when it is over.
 
-    It does so when the driver collects garbage, which on a large heap may be
-    long after a staged table has made them useless.
+    For actions whose result is read, not their plan again.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
 
 
 def forget(spark: SparkSession, path: str) -> None:

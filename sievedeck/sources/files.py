@@ -34,7 +34,10 @@ def read_folder(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
 
 
 def write_folder(df: DataFrame, path: str, name_col: str = "filename", text_col: str = "text") -> None:
-    """A folder a name, each with the text; read back with read_named."""
+    """A folder a name, each with the text; read back with read_named.
+
+    For fixtures and reports: a file a document burdens any file system when there are millions of them.
+    """
     df.select(F.col(name_col).alias("name"), F.col(text_col).alias("text")).write.mode("overwrite").partitionBy("name").option("lineSep", "\0").text(path)
 
 
@@ -62,8 +65,30 @@ def read_zip(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, filename string, text string")
 
 
-def fetch_pages(urls: DataFrame, fetch: Callable[[str], str], url_col: str = "url") -> DataFrame:
-    """url, html, error: what the given function returns for each url, or its exception as data."""
+# The two agents that the cloaking check asks as.
+NORMAL_AGENT, BOT_AGENT = "Mozilla/5.0", "Googlebot"
+
+
+def http_get(agent: str | None = None, timeout: float = 10) -> Callable[[str], str]:
+    """A function that reads a page: seconds to wait, the agent to name, the status not checked, text by the declared charset."""
+
+    def get(url: str) -> str:
+        from urllib.error import HTTPError
+        from urllib.request import Request, urlopen
+
+        try:
+            answer = urlopen(Request(url, headers={"User-Agent": agent} if agent else {}), timeout=timeout)  # noqa: S310
+        except HTTPError as refused:  # a page of its own
+            answer = refused
+        with answer:
+            return answer.read().decode(answer.headers.get_content_charset() or "utf-8", "replace")
+
+    return get
+
+
+def fetch_pages(urls: DataFrame, fetch: Callable[[str], str] | None = None, url_col: str = "url") -> DataFrame:
+    """url, html, error: what the function (``http_get()`` by default) returns for each url, or its exception as data."""
+    fetch = fetch or http_get()
 
     def run(batches):
         import pandas as pd
@@ -78,3 +103,17 @@ def fetch_pages(urls: DataFrame, fetch: Callable[[str], str], url_col: str = "ur
             yield pd.DataFrame(rows, columns=["url", "html", "error"])
 
     return urls.select(url_col).mapInPandas(run, "url string, html string, error string")
+
+
+def fetch_twice(urls: DataFrame, normal: Callable[[str], str] | None = None, bot: Callable[[str], str] | None = None, url_col: str = "url") -> tuple[DataFrame, DataFrame]:
+    """url, body, error of two snapshots, asked for as a browser and as a search engine; each is fetched when it is read."""
+    agents = (normal or http_get(NORMAL_AGENT), bot or http_get(BOT_AGENT))
+    return tuple(fetch_pages(urls, f, url_col).withColumnRenamed("html", "body") for f in agents)
+
+
+def union_records(*tables: DataFrame) -> DataFrame:
+    """Records of different columns under one another, by name; what a record lacks is null."""
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table, allowMissingColumns=True)
+    return out

@@ -1 +1 @@
-"""Row-level operators on streams: profiles, tokens and shingles are plain column functions and need no change."""
+"""Pages and documents as streams."""

@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -5,14 +10,14 @@ import __spark_entry__
 from sievedeck.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["word_tokens", "search_topk", "rocchio_search", "kgram_jaccard", "edit_ratio_lcs", "page_profile", "page_features", "keyword_stuffing", "cloaking_check", "kshingles", "shingle_jaccard_pairs", "minhash_pairs", "lsh_vs_bruteforce", "csv_roundtrip"]
+CHECKED = ["word_tokens", "search_topk", "rocchio_search", "kgram_jaccard", "edit_ratio_lcs", "sequence_ratio", "fuzzy_features", "page_clusters", "search_batch", "search_full_ranking", "tfidf_weights", "similarity_degree", "page_profile", "page_features", "keyword_stuffing", "cloaking_check", "kshingles", "shingle_jaccard_pairs", "minhash_pairs", "lsh_vs_bruteforce", "csv_roundtrip"]
 
 
 def test_every_query_of_the_catalogue_is_registered():
     assert set(catalog.queries()) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_entry(spark):
+def test_entry_query(spark):
     assert __spark_entry__.entry(spark).columns == ["rank", "doc_id", "score"]
 
 
@@ -26,3 +31,16 @@ def test_against_duckdb(spark, name):
     assert columns == sorted(want.columns)
     rows = [sorted(map(str, x[columns].itertuples(index=False, name=None))) for x in (got, want)]
     assert rows[0] == rows[1]
+
+
+def test_the_rest_stands_without_the_llm_folders(tmp_path):
+    """A copy without them and with or without the pipeline imports, registers its queries and passes a test."""
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", "llm"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'search_topk' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
+    for gone in (False, True):
+        if gone and (copy / "corpus_pipeline.py").exists():
+            os.remove(copy / "corpus_pipeline.py")
+        subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=300)
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_entry.py", "-k", "every_query or test_entry_query"], cwd=copy, check=True, timeout=300)
