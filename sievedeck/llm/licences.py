@@ -1,15 +1,19 @@
 """Licence scans by a trained paragraph classifier, in SQL functions only.
 
-Sparse logistic regression on word unigrams and bigrams tells licence families from each other and
-from other text. It is fitted in numpy on notices of each family (``TEMPLATES``), cut, shortened and padded at
-random, against ordinary and misleading sentences; no row of the corpus is used. A temperature and a
-threshold fitted on notices kept aside make the unknown class: paragraphs whose best family is less
-probable than the threshold. A prediction is confirmed if enough of the paragraph's grams stand
-in the family's templates.
-
-Scanning is DataFrame operations: paragraphs (lines) with a cue word, any word that a template cannot do
-without, are split into grams and joined with the table of weights, whose size is
-fixed by the templates (so its broadcast is bounded), and summed by paragraph.
+Sparse logistic regression on word unigrams and bigrams tells licence families from each other, from
+licences of no family listed here and from other text. It is fitted in numpy on notices of each family
+(``TEMPLATES``), cut, shortened and padded at random; on the same notices with invented names in place of the
+family's, which make the unknown class; and on ordinary and misleading sentences, loose words of the notices and
+texts of none of their words. No row of the corpus is used. Probabilities are calibrated by a temperature on rows kept
+aside, and the least probability of a family there is set so that 99 % of the wrong ones stay under it: below it
+a notice is unknown, too. A prediction is confirmed if the paragraph and a template of the family
+overlap: enough of the grams of the shorter one stand in the other.
+
+Scanning is DataFrame operations. Paragraphs are lines. A paragraph can only be a notice if what its
+grams can add for any family over other text reaches a bound that follows from the weights. A sum of one number for each
+known word, which is never less than what the word's grams can add, drops the others exactly, within the row; what is left is
+split into grams, joined with the table of weights, whose size is fixed by the templates (so
+its broadcast is bounded), and summed by paragraph.
 
 Defined results: null and empty texts have no paragraphs; licence paragraphs of rows that share an id are
 counted together at each of them; rows with a null id have their paragraphs counted and no hits; an empty table gives
@@ -18,11 +22,12 @@ an empty result; only the named columns are read.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TEMPLATES = {
@@ -30,6 +35,7 @@ TEMPLATES = {
         "released under the mit license", "licensed under the mit license", "this software is distributed under the terms of the mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
         "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied",
     ],
     "Apache-2.0": [
         "licensed under the apache license version 2.0", "released under the apache license 2.0", "you may not use this file except in compliance with the license",
@@ -64,11 +70,17 @@ OTHER = [
     "this work is hard and takes a long time", "the bsd conference was held in ottawa", "warranty claims must be made within a year", "distributed systems are difficult to build",
     "available for rent from the first of april", "the source of the river lies in the hills", "all of the above are true", "the attribution of the painting is disputed", "no part of the story was true",
 ]
-FAMILIES = [*TEMPLATES, ""]  # the last is other text
+#: What names a family in its notices; invented names take their place in the rows of the unknown class.
+NAMES = {
+    "MIT": ("mit",), "Apache-2.0": ("apache", "www.apache.org"), "GPL": ("gnu", "gpl", "gpl-3.0"), "LGPL": ("gnu", "lesser", "lgpl-2.1"), "AGPL": ("gnu", "affero", "agpl-3.0"), "BSD": ("bsd",),
+    "MPL-2.0": ("mozilla", "mpl-2.0"), "CC-BY": ("cc", "by", "creative", "commons"), "CC-BY-SA": ("cc", "by-sa", "creative", "commons"), "CC-BY-NC": ("cc", "by-nc", "by-nc-nd", "by-nc-sa", "creative", "commons"), "CC0": ("cc0",),
+}
+UNKNOWN = "unknown"
+FAMILIES = [*TEMPLATES, UNKNOWN, ""]  # the last is other text
 TOKEN = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
-CUES = ("licen[cs]e", "licen[cs]ed", "copyright", "gpl", "lgpl", "agpl", "mpl-", "cc0", "cc by", "creative commons", "public domain", "all rights reserved", "hereby granted", "redistribut", "proprietary", "without written permission", "permission notice")
-#: Share of a paragraph's grams that must stand in the family's templates.
-CONFIRM = 0.5
+#: Share of the grams of the shorter of paragraph and template, and number of grams, that must agree.
+CONFIRM, LEAST_GRAMS = 0.6, 5
+STEPS = 800
 
 
 def grams(text: str) -> list[str]:
@@ -93,87 +105,136 @@ def _variants(r: np.random.Generator, text: str, filler: list[str], n: int) -> l
     return out
 
 
+def training_rows(r: np.random.Generator, variants: int) -> list[tuple[int, str]]:
+    """Class and text of the rows to fit and calibrate on."""
+    filler = sorted({w for s in OTHER for w in s.split()})
+    rows = [(k, v) for k, own in enumerate(TEMPLATES.values()) for t in own for v in _variants(r, t, filler, variants)]
+    for family, names in NAMES.items():
+        for t in TEMPLATES[family]:
+            if set(names) & set(t.split()):
+                rows += [(len(TEMPLATES), " ".join("qq" if w in names else w for w in v.split())) for v in _variants(r, t, filler, variants // 2) if set(names) & set(v.split())]
+    other = len(TEMPLATES) + 1
+    rows += [(other, v) for t in OTHER for v in _variants(r, t, filler, variants // 2)]
+    rows += [(other, " ".join(filler[k] for k in r.integers(0, len(filler), int(r.integers(3, 25))))) for _ in range(600)]
+    words = sorted({w for own in TEMPLATES.values() for t in own for w in t.split()})
+    rows += [(other, w) for w in words]
+    rows += [(other, " ".join(f"qq {words[k]}" for k in r.integers(0, len(words), int(r.integers(1, 6))))) for _ in range(600)]
+    small = sorted({w for w in words if len(w) <= 5 and w.isalpha() and w in filler})  # the words of any prose
+    rows += [(other, " ".join(small[k] if k < len(small) else "qq" for k in r.integers(0, 2 * len(small), int(r.integers(2, 80))))) for _ in range(1200)]
+    return rows + [(other, "qq")] * 600
+
+
 @lru_cache
 def model(seed: int = 5, variants: int = 24) -> dict:
-    """weights {gram: one a family}, bias, temperature, threshold, and templates {gram: families it stands in}."""
+    """weights {gram: one a class}, bias, temperature, threshold, least evidence, mass {word: most its grams can add}, and templates."""
     r = np.random.default_rng(seed)
-    filler = sorted({w for s in OTHER for w in s.split()})
-    rows = [(k, v) for k, own in enumerate(TEMPLATES.values()) for t in own for v in _variants(r, t, filler, variants)]
-    rows += [(len(TEMPLATES), v) for t in OTHER for v in _variants(r, t, filler, variants // 2)]
-    rows += [(len(TEMPLATES), " ".join(filler[k] for k in r.integers(0, len(filler), int(r.integers(3, 25))))) for _ in range(600)]
+    rows = training_rows(r, variants)
+    made = [[g for g in grams(t) if "qq" not in g] for _, t in rows]
     aside = r.random(len(rows)) < 0.25
-    vocabulary = {g: k for k, g in enumerate(sorted({g for (_, t), a in zip(rows, aside, strict=True) if not a for g in grams(t)}))}
-    x = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for k, (_, t) in enumerate(rows):
-        own = [vocabulary[g] for g in grams(t) if g in vocabulary]
-        x[k, own] = 1
-    y = np.eye(len(FAMILIES), dtype=np.float32)[[f for f, _ in rows]]
-    w, b = np.zeros((len(vocabulary), len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
-    fit, mw = np.flatnonzero(~aside), np.zeros_like(w)
-    for step in range(400):
-        z = x[fit] @ w + b
-        p = np.exp(z - z.max(1, keepdims=True))
-        p = p / p.sum(1, keepdims=True) - y[fit]
-        mw = 0.9 * mw + x[fit].T @ p / len(fit) + 2e-4 * w
-        w -= 1.0 * mw * (1 - step / 400)
+    times: dict[str, int] = {}
+    for own, a in zip(made, aside, strict=True):
+        for g in own if not a else ():
+            times[g] = times.get(g, 0) + 1
+    vocabulary = {g: k for k, g in enumerate(sorted(g for g, n in times.items() if n > 1))}
+    codes = [[vocabulary[g] for g in own if g in vocabulary] for own in made]
+    y = np.array([f for f, _ in rows])
+    w, b = np.zeros((len(vocabulary), len(FAMILIES))), np.zeros(len(FAMILIES))
+
+    def logits(which: np.ndarray) -> np.ndarray:
+        out = np.tile(b, (len(which), 1))
+        n = np.array([len(codes[k]) for k in which])
+        some = np.flatnonzero(n)
+        out[some] += np.add.reduceat(w[np.concatenate([codes[k] for k in which]).astype(np.int64)], (np.cumsum(n) - n)[some])
+        return out
+
+    fit = np.flatnonzero(~aside)
+    column = np.concatenate([codes[k] for k in fit]).astype(np.int64)
+    row = np.repeat(np.arange(len(fit)), [len(codes[k]) for k in fit])
+    by_column = np.argsort(column, kind="stable")
+    edges = np.searchsorted(column[by_column], np.arange(len(vocabulary)))
+    moving = np.zeros_like(w)
+    for step in range(STEPS):
+        p = _softmax(logits(fit)) - np.eye(len(FAMILIES))[y[fit]]
+        moving = 0.9 * moving + np.add.reduceat(p[row[by_column]], edges) / len(fit) + 2e-4 * w
+        w -= 3 * moving * (1 - step / STEPS)
         b -= 0.5 * p.mean(0)
-    z = (x[aside] @ w + b).astype(np.float64)
-    truth = y[aside].argmax(1)
-
-    def loss(t: float) -> float:
-        q = z / t
-        q = q - np.log(np.exp(q - q.max(1, keepdims=True)).sum(1, keepdims=True)) - q.max(1, keepdims=True)
-        return -q[np.arange(len(q)), truth].mean()
-
-    temperature = min(np.arange(0.3, 3.01, 0.05), key=loss)
-    p = np.exp(z / temperature - (z / temperature).max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    wrong = p[:, :-1].max(1)[(p[:, :-1].argmax(1) != truth)]
-    threshold = float(np.clip(np.quantile(wrong, 0.99) if len(wrong) else 0.5, 0.4, 0.9))
-    w = np.round(w, 4)
-    keep = {g: w[k].astype(float).tolist() for g, k in vocabulary.items() if np.abs(w[k]).max() >= 0.01}
-    member: dict[str, list[int]] = {}
-    for k, own in enumerate(TEMPLATES.values()):
-        for g in sorted({g for t in own for g in grams(t)}):
-            member.setdefault(g, []).append(k)
-    return {"weights": keep, "bias": np.round(b, 4).astype(float).tolist(), "temperature": round(float(temperature), 2), "threshold": round(threshold, 3), "templates": member}
+    w, b = np.round(w, 4), np.round(b, 4)
+    away = np.flatnonzero(aside)
+    z, truth = logits(away), y[aside]
+    loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(z)), truth]).mean()
+    temperature = round(float(min(np.arange(0.3, 3.01, 0.05), key=loss)), 2)
+    families = _softmax(z / temperature)[:, : len(TEMPLATES)]
+    wrong = families.max(1)[families.argmax(1) != truth]
+    threshold = round(float(np.clip(np.quantile(wrong, 0.99) if len(wrong) else 0.5, 0.5, 0.9)), 3)
+    # Other text is less probable than one half only if some class is ahead of it by more than -T log(classes - 1).
+    least = float(b[-1] - b[:-1].max() - temperature * np.log(len(FAMILIES) - 1))
+    adds = np.maximum(0, (w[:, :-1] - w[:, -1:]).max(1))
+    mass: dict[str, float] = {}
+    for g, k in vocabulary.items():
+        # A bigram counts at the rarer of its words, so common words carry little.
+        word = min(g.split(), key=lambda x: (times.get(x, 0), x))
+        mass[word] = mass.get(word, 0.0) + float(adds[k])
+    return {
+        "weights": {g: w[k].tolist() for g, k in vocabulary.items()}, "bias": b.tolist(), "temperature": temperature, "threshold": threshold, "least": least,
+        "mass": {x: m for x, m in mass.items() if m > 0}, "templates": [(k, grams(t)) for k, own in enumerate(TEMPLATES.values()) for t in own],
+    }
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(1, keepdims=True))
+    return p / p.sum(1, keepdims=True)
+
+
+def may_be_notice(tokens: Column) -> Column:
+    """Whether a paragraph of these words can have less than one half for other text: false only if it surely cannot."""
+    m = model()
+    if m["least"] <= 0:  # a paragraph without a known word could
+        return F.lit(True)
+    known = F.array_intersect(tokens, F.lit(sorted(m["mass"])))
+    mass = F.from_json(F.lit(json.dumps(m["mass"])), "map<string,double>")
+    return F.aggregate(known, F.lit(1e-6), lambda total, w: total + F.element_at(mass, w)) >= m["least"]
 
 
 def licence_paragraphs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, paragraph, family, probability, similarity, verdict of every paragraph with a cue.
+    """doc_id, paragraph, family, probability, similarity, verdict of every paragraph that is a notice more probably than not.
 
-    The verdict is confirmed (a family, and its templates agree), unconfirmed (they do not), or
-    unknown (no family is probable enough); paragraphs that are other text most probably are left out.
+    The verdict is confirmed (a family, and one of its templates agrees), unconfirmed (none does), or
+    unknown (a licence of no family here, or no family is probable enough).
     """
     spark, m = df.sparkSession, model()
-    width = len(FAMILIES)
-    cue = "(?i)" + "|".join(CUES)
-    source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & F.col("text").rlike(cue))
-    lines = source.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.col("line").rlike(cue))
+    width, families = len(FAMILIES), len(TEMPLATES)
+    source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("doc_id").isNotNull() & (F.col("text") != ""))
     tokens = F.regexp_extract_all(F.lower("line"), F.lit(TOKEN), F.lit(0))
+    lines = source.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(F.col("line") != "")
+    lines = lines.select("doc_id", "paragraph", tokens.alias("tokens")).where(may_be_notice(F.col("tokens")))
     pairs = F.zip_with(F.slice("tokens", 1, F.greatest(F.size("tokens") - 1, F.lit(0))), F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    exploded = lines.select("doc_id", "paragraph", tokens.alias("tokens")).select("doc_id", "paragraph", F.explode(F.array_distinct(F.concat("tokens", pairs))).alias("gram"))
-    names = sorted({*m["weights"], *m["templates"]})
+    exploded = lines.select("doc_id", "paragraph", F.explode(F.array_distinct(F.concat("tokens", pairs))).alias("gram"))
+    said = [set(own) for _, own in m["templates"]]
     table = spark.createDataFrame(
-        [(g, *m["weights"].get(g, [0.0] * width), *(int(k in m["templates"].get(g, ())) for k in range(width - 1))) for g in names],
-        "gram string, " + ", ".join(f"w{k} double" for k in range(width)) + ", " + ", ".join(f"t{k} int" for k in range(width - 1)),
+        [(g, m["weights"].get(g, [0.0] * width), [int(g in own) for own in said]) for g in sorted({*m["weights"], *(g for own in said for g in own)})],
+        "gram string, w array<double>, t array<int>",
     )
     # As many rows as the templates have grams, whatever the corpus.
     joined = exploded.join(F.broadcast(table), "gram", "left")
     sums = joined.groupBy("doc_id", "paragraph").agg(
-        F.count("*").alias("n"), *(F.sum(F.coalesce(f"w{k}", F.lit(0.0))).alias(f"w{k}") for k in range(width)), *(F.sum(F.coalesce(f"t{k}", F.lit(0))).alias(f"t{k}") for k in range(width - 1)),
+        F.count("*").alias("n"), *(F.sum(F.coalesce(F.col("w")[k], F.lit(0.0))).alias(f"w{k}") for k in range(width)), *(F.sum(F.coalesce(F.col("t")[k], F.lit(0))).alias(f"t{k}") for k in range(len(said))),
     )
     logits = [(F.col(f"w{k}") + F.lit(m["bias"][k])) / m["temperature"] for k in range(width)]
     scored = sums.withColumn("z", F.array(*logits)).withColumn("z", F.transform("z", lambda v: F.exp(v - F.array_max("z"))))
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + v)
-    best = F.array_max(F.slice("z", 1, width - 1))
-    scored = scored.select("doc_id", "paragraph", "n", (best / total).alias("probability"), (F.element_at("z", width) / total).alias("other"), F.array_position(F.slice("z", 1, width - 1), best).cast("int").alias("at"), F.array(*(f"t{k}" for k in range(width - 1))).alias("t"))
-    named = scored.select(
-        "doc_id", "paragraph", F.element_at(F.lit(FAMILIES[:-1]), F.col("at")).alias("family"), F.round("probability", 6).alias("probability"),
-        F.round(F.element_at("t", F.col("at")) / F.col("n"), 6).alias("similarity"), "other",
+    best = F.array_max(F.slice("z", 1, families))
+    overlap = lambda k: F.when(F.col(f"t{k}") >= LEAST_GRAMS, F.col(f"t{k}") / F.least(F.col("n"), F.lit(len(said[k])))).otherwise(0.0)
+    alike = F.array(*(F.greatest(F.lit(0.0), *(overlap(k) for k, (f, _) in enumerate(m["templates"]) if f == family)) for family in range(families)))
+    scored = scored.select(
+        "doc_id", "paragraph", (best / total).alias("probability"), (F.element_at("z", families + 1) / total).alias("unknown"), (F.element_at("z", width) / total).alias("other"),
+        F.array_position(F.slice("z", 1, families), best).cast("int").alias("at"), alike.alias("alike"),
     ).where("other < 0.5")
-    verdict = F.when(F.col("probability") < m["threshold"], "unknown").when(F.col("similarity") >= CONFIRM, "confirmed").otherwise("unconfirmed")
-    return named.select("doc_id", "paragraph", F.when(F.col("probability") < m["threshold"], None).otherwise(F.col("family")).alias("family"), "probability", "similarity", verdict.alias("verdict"))
+    named = scored.select(
+        "doc_id", "paragraph", F.element_at(F.lit(FAMILIES[:families]), F.col("at")).alias("family"), F.round("probability", 6).alias("probability"), F.round(F.element_at("alike", F.col("at")), 6).alias("similarity"),
+        ((F.col("unknown") > F.col("probability")) | (F.round("probability", 6) < m["threshold"])).alias("strange"),
+    )
+    verdict = F.when(F.col("strange"), UNKNOWN).when(F.col("similarity") >= CONFIRM, "confirmed").otherwise("unconfirmed")
+    return named.select("doc_id", "paragraph", F.when(~F.col("strange"), F.col("family")).alias("family"), "probability", "similarity", verdict.alias("verdict"))
 
 
 def licence_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,14 +242,14 @@ def licence_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hits = licence_paragraphs(df, id_col, text_col)
     count = lambda v: F.count(F.when(F.col("verdict") == v, 1))
     sure = F.col("verdict") == "confirmed"
-    by_doc = hits.groupBy(F.col("doc_id").alias("__id")).agg(
+    by_doc = hits.groupBy(F.col("doc_id").alias("found")).agg(
         count("confirmed").alias("n_confirmed"), count("unconfirmed").alias("n_unconfirmed"), count("unknown").alias("n_unknown"),
         F.array_join(F.array_sort(F.collect_set(F.when(sure, F.col("family")))), ",").alias("families"),
         F.max(F.when(sure, F.struct(F.col("probability"), F.col("family")))).alias("best"),
     )
     docs = df.select(F.col(id_col).alias("doc_id"), F.when(F.coalesce(F.col(text_col), F.lit("")) == "", 0).otherwise(F.size(F.split(F.col(text_col), "\n"))).cast("long").alias("n_paragraphs"))
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return docs.join(by_doc, docs["doc_id"] == F.col("__id"), "left").select(
+    return docs.join(by_doc, docs["doc_id"] == F.col("found"), "left").select(
         "doc_id", "n_paragraphs", zero("n_confirmed"), zero("n_unconfirmed"), zero("n_unknown"),
         F.coalesce("families", F.lit("")).alias("families"), F.col("best.family").alias("best_family"), F.col("best.probability").alias("probability"),
     )

@@ -74,21 +74,68 @@ def test_licence_families(spark):
     assert all(r["n_paragraphs"] == 3 for r in rows.values())
 
 
-def test_licence_scores_against_brute_force(spark):
-    texts = [v for own in licences.TEMPLATES.values() for v in own] + licences.OTHER
-    got = {r["doc_id"]: r for r in licences.licence_paragraphs(table(spark, list(enumerate(texts)))).collect()}
-    m, cue = licences.model(), re.compile("|".join(licences.CUES), re.I)
+def slow_verdict(text):
+    """The verdict of one paragraph from the weights, in plain Python; None for other text."""
+    m, own = licences.model(), set(licences.grams(text))
+    z = [b + sum(m["weights"][g][k] for g in own if g in m["weights"]) for k, b in enumerate(m["bias"])]
+    e = [np.exp((x - max(z)) / m["temperature"]) for x in z]
+    p = [x / sum(e) for x in e]
+    if p[-1] >= 0.5:
+        return None
+    families = p[: len(licences.TEMPLATES)]
+    best = families.index(max(families))
+    shares = [len(own & set(t)) / min(len(own), len(t)) for f, t in m["templates"] if f == best and len(own & set(t)) >= licences.LEAST_GRAMS]
+    alike = max([0.0, *shares])
+    strange = p[-2] > families[best] or round(families[best], 6) < m["threshold"]
+    return None if strange else licences.FAMILIES[best], families[best], alike, "unknown" if strange else "confirmed" if alike >= licences.CONFIRM else "unconfirmed"
+
+
+def test_licence_verdicts_against_brute_force(spark):
+    r = np.random.default_rng(1)
+    texts = [v for own in licences.TEMPLATES.values() for v in own] + licences.OTHER + [t for _, t in licences.training_rows(r, 2)] + ["", "Mit.", "qq", "die mit der", "a" * 5000]
+    got = {x["doc_id"]: x for x in licences.licence_paragraphs(table(spark, list(enumerate(texts)))).collect()}
     for k, text in enumerate(texts):
-        z = np.array(m["bias"]) + sum((np.array(m["weights"][g]) for g in licences.grams(text) if g in m["weights"]), np.zeros(len(licences.FAMILIES)))
-        p = np.exp((z - z.max()) / m["temperature"])
-        p /= p.sum()
-        if not cue.search(text) or p[-1] >= 0.5:
-            assert k not in got
+        want = slow_verdict(text) if text else None
+        if want is None:
+            assert k not in got, text
             continue
-        best = int(p[:-1].argmax())
-        share = sum(best in m["templates"].get(g, ()) for g in licences.grams(text)) / len(licences.grams(text))
-        assert abs(got[k]["probability"] - p[best]) < 1e-5 and abs(got[k]["similarity"] - share) < 1e-5
-        assert got[k]["verdict"] == ("unknown" if p[best] < m["threshold"] else "confirmed" if share >= licences.CONFIRM else "unconfirmed")
+        x = got[k]
+        assert x["family"] == want[0] and x["verdict"] == want[3], (text, x, want)
+        assert abs(x["probability"] - want[1]) < 1e-5 and abs(x["similarity"] - want[2]) < 1e-5
+
+
+NOTICES = {
+    "MIT": ["This project is released under the MIT License.", "Code in this directory is licensed under the MIT license", "Permission is hereby granted, free of charge, to any person obtaining a copy of", "The dog ran home late. Released under the MIT License."],
+    "Apache-2.0": ["Distributed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");", "unless required by applicable law or agreed to in writing, software"],
+    "GPL": ["Our tool is licensed under the GNU General Public License version 2.", "it under the terms of the GNU General Public License as published by", "Released under the GPL, version 3"],
+    "LGPL": ["This library is licensed under the GNU Lesser General Public License, version 3"],
+    "AGPL": ["The server is licensed under the GNU Affero General Public License version 3"],
+    "BSD": ["Released under the BSD 3-Clause License", "Redistribution and use in source and binary forms, with or without modification,"],
+    "MPL-2.0": ["Licensed under the Mozilla Public License, version 2.0", "This Source Code Form is subject to the terms of the Mozilla Public"],
+    "CC-BY": ["Text is licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-SA": ["Pictures are licensed under CC BY-SA 4.0.", "available under CC BY-SA 3.0"],
+    "CC-BY-NC": ["Licensed under CC BY-NC-SA 4.0 by the author"],
+    "CC0": ["Released under CC0 1.0", "Dedicated to the public domain under CC0 1.0 by the authors"],
+    "Proprietary": ["Copyright 2020 The Authors. All rights reserved.", "This material is proprietary and confidential."],
+}
+STRANGE = ["Licensed under the Eclipse Public License 2.0", "Licensed under the Zebra Public License version 2.0", "Released under the Boost Software License"]
+CLEAN = [
+    "Mit.", "Den mit und der die.", "He lost his fishing license in May.", "Copyright law is hard to read.", "The apache flew over the hills and the river.", "They reserved a table for all of us.",
+    "She works in the public domain of the town.", "The creative commons room was closed.", "An old man and the sea under the bridge", "Free software is a matter of taste", "le chat et la souris", "Version 3 of the map is out.",
+]
+
+
+def test_licence_precision_and_recall_on_planted_notices(spark):
+    """Notices that no template has word for word, licences of no family here, and misleading text."""
+    planted = [(f, t) for f, own in NOTICES.items() for t in own] + [("strange", t) for t in STRANGE] + [(None, t) for t in CLEAN]
+    df = table(spark, [(k, f"Some words first.\n{t}\nMore words.") for k, (_, t) in enumerate(planted)])
+    rows = {r["doc_id"]: r for r in licences.licence_scan(df).collect()}
+    right = [k for k, (f, _) in enumerate(planted) if f in NOTICES and rows[k]["families"] == f]
+    wrong = [t for k, (f, t) in enumerate(planted) if rows[k]["families"] not in ("", f)]
+    assert not wrong
+    assert len(right) >= 0.9 * sum(map(len, NOTICES.values())), [t for k, (f, t) in enumerate(planted) if f in NOTICES and k not in right]
+    assert all(rows[k]["n_unknown"] + rows[k]["n_unconfirmed"] == 1 and rows[k]["families"] == "" for k, (f, _) in enumerate(planted) if f == "strange")
+    assert not any(rows[k]["n_confirmed"] + rows[k]["n_unconfirmed"] for k, (f, _) in enumerate(planted) if f is None)
 
 
 def test_licences_of_odd_tables(odd, empty):
