@@ -9,7 +9,7 @@ cut there is ``CUT``; the epoch of least loss there is kept. For
 the operator's own decision, thresholds are calibrated for each language there.
 
 Training sees at most ``train_rows`` labelled documents, those with the least id
-hashes: a documented bound for a model of fixed size. Every document is scored,
+hashes, of ``train_bytes`` together: documented bounds for a model of fixed size. Every document is scored,
 whole. Only the text is an input of the score; labels, languages, sources and
 ids are not.
 
@@ -30,7 +30,7 @@ from sievedeck.llm.textvec import LOWER, only, span_hash, text_slices
 from sievedeck.session import ensure_importable
 
 BITS, LEAST_DOCS, DIM, FILTERS, WIDTHS = 23, 3, 8, 8, (1, 2, 3)
-TRAIN_ROWS, CUT = 6_000, 0.7
+TRAIN_ROWS, TRAIN_BYTES, CUT = 6_000, 128 << 20, 0.7
 
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -142,6 +142,40 @@ def _platt(logit: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3), b
 
 
+def gradients(p: dict[str, np.ndarray], rows: np.ndarray, starts: np.ndarray, none: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean log loss (with the penalty on weights and filters) of padded documents, and its gradient by each parameter."""
+    n, size, kind = len(label), len(rows) - max(WIDTHS) + 1, p["E"].dtype
+    places, features = [], []
+    for w in WIDTHS:
+        z = np.zeros((size, FILTERS), kind)
+        for j in range(w):
+            z += p["E"][rows[j : size + j]] @ p[f"F{w}"][j]
+        z[none] = -1e9
+        top = np.maximum.reduceat(z, starts, axis=0)
+        span = np.repeat(np.arange(n), np.diff(np.append(starts, size)))
+        hit = np.where(z == top[span], np.arange(size)[:, None], size)
+        places.append(np.minimum.reduceat(hit, starts, axis=0))
+        features.append(np.maximum(top + p[f"b{w}"], 0))
+    x = np.hstack(features)
+    logit = x @ p["v"] + p["c"]
+    loss = np.logaddexp(0, (1 - 2 * label) * logit).mean() + 5e-5 * sum((p[k] ** 2).sum() for k in ("v", *(f"F{w}" for w in WIDTHS)))
+    error = ((1 / (1 + np.exp(-logit)) - label) / n).astype(kind)
+    g = {"v": x.T @ error + 1e-4 * p["v"], "c": np.array([error.sum()], kind)}
+    dx = error[:, None] * p["v"] * (x > 0)
+    dE = np.zeros_like(p["E"])
+    for i, w in enumerate(WIDTHS):
+        d = dx[:, i * FILTERS : (i + 1) * FILTERS]
+        g[f"b{w}"], g[f"F{w}"] = d.sum(0), np.zeros_like(p[f"F{w}"])
+        for j in range(w):
+            words = rows[places[i] + j]
+            g[f"F{w}"][j] = np.einsum("nfd,nf->df", p["E"][words], d)
+            np.add.at(dE, words.reshape(-1), (d[:, :, None] * p[f"F{w}"][j].T[None]).reshape(-1, DIM))
+        g[f"F{w}"] += 1e-4 * p[f"F{w}"]
+    dE[0] = 0  # the row of unknown words stays zero
+    g["E"] = dE
+    return float(loss), g
+
+
 def train(texts: list[str], labels: list[int], langs: list[str | None], epochs: int = 14, seed: int = 7) -> ToxicityModel:
     """Fit on four fifths of the rows, calibrate on the fifth, on which the best epoch is kept, too."""
     label = np.array(labels, np.float64)
@@ -186,34 +220,7 @@ def train(texts: list[str], labels: list[int], langs: list[str | None], epochs:
             own = shuffled[at : at + batch]
             n = len(own)
             rows, starts, none = _padded(np.concatenate([texts_rows[k] for k in own]), np.repeat(np.arange(n), [len(texts_rows[k]) for k in own]), n)
-            size = len(rows) - max(WIDTHS) + 1
-            places, features = [], []
-            for w in WIDTHS:
-                z = np.zeros((size, FILTERS), np.float32)
-                for j in range(w):
-                    z += p["E"][rows[j : size + j]] @ p[f"F{w}"][j]
-                z[none] = -1e9
-                top = np.maximum.reduceat(z, starts, axis=0)
-                span = np.repeat(np.arange(n), np.diff(np.append(starts, size)))
-                hit = np.where(z == top[span], np.arange(size)[:, None], size)
-                places.append(np.minimum.reduceat(hit, starts, axis=0))
-                features.append(np.maximum(top + p[f"b{w}"], 0))
-            x = np.hstack(features)
-            logit = x @ p["v"] + p["c"]
-            error = ((1 / (1 + np.exp(-logit)) - label[own]) / n).astype(np.float32)
-            g = {"v": x.T @ error + 1e-4 * p["v"], "c": np.array([error.sum()], np.float32)}
-            dx = error[:, None] * p["v"] * (x > 0)
-            dE = np.zeros_like(p["E"])
-            for i, w in enumerate(WIDTHS):
-                d = dx[:, i * FILTERS : (i + 1) * FILTERS]
-                g[f"b{w}"], g[f"F{w}"] = d.sum(0), np.zeros_like(p[f"F{w}"])
-                for j in range(w):
-                    words = rows[places[i] + j]
-                    g[f"F{w}"][j] = np.einsum("nfd,nf->df", p["E"][words], d)
-                    np.add.at(dE, words.reshape(-1), (d[:, :, None] * p[f"F{w}"][j].T[None]).reshape(-1, DIM))
-                g[f"F{w}"] += 1e-4 * p[f"F{w}"]
-            dE[0] = 0
-            g["E"] = dE
+            _, g = gradients(p, rows, starts, none, label[own])
             step += 1
             for k, x in p.items():
                 first[k] += 0.1 * (g[k] - first[k])
@@ -249,19 +256,38 @@ def _threshold(score: np.ndarray, label: np.ndarray) -> float:
     return float(cuts[top[len(top) // 2]])
 
 
-def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Train on at most ``train_rows`` of the labelled rows whose crc32(id) mod 3 is not 1."""
+def training_rows(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> list:
+    """doc_id, text, lang, label of at most ``train_rows`` rows of at most ``train_bytes`` of whole texts together.
+
+    Of the labelled ids whose crc32 modulo 3 is not 1 those with the least hashes; of their rows, in the
+    same order, as many as stay within both bounds (a text that does not is passed over).
+    """
     order = F.xxhash64("doc_id")
     drawn = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id IS NOT NULL AND label IS NOT NULL")
         .where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
         .groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(order, "doc_id").limit(train_rows)
     )
-    spark = df.sparkSession
-    few = spark.createDataFrame(drawn.collect() or [], drawn.schema)
+    few = df.sparkSession.createDataFrame(drawn.collect() or [], drawn.schema)
     # At most train_rows small rows, so the broadcast has a fixed bound.
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(few), "doc_id").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(few), "doc_id")
+    key = (order.alias("h"), "doc_id", F.xxhash64("text").alias("t"))
+    sizes = docs.select(*key, F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("h", "doc_id", "t").limit(train_rows).collect()
+    took, total = [], 0
+    for r in sizes:
+        if total + r["size"] <= train_bytes:
+            took.append((r["doc_id"], r["t"]))
+            total += r["size"]
+    if not took:
+        return []
+    chosen = df.sparkSession.createDataFrame(sorted(set(took)), "doc_id long, t long")  # bounded as few is
+    rows = docs.withColumn("t", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "t"]).limit(len(took)).collect()
+    return sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
+
+
+def fit_toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> ToxicityModel:
+    """Train on at most ``train_rows`` of the labelled rows whose crc32(id) mod 3 is not 1."""
+    rows = training_rows(df, labels, id_col, text_col, lang_col, label_col, train_rows)
     return train([r["text"] or "" for r in rows], [int(r["label"] > 0) for r in rows], [r["lang"] for r in rows])
 
 
