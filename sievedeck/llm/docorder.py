@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-QUANTILES = 256
+QUANTILES, NULL_BUCKETS = 256, 64
 
 
-def order_buckets(df: DataFrame, id_col: str, rows_per_bucket: int, least: int = 96) -> Column:
-    """A bucket number that rises with ``id_col``; null ids have bucket -1.
+def ordered_parts(df: DataFrame, id_col: str, rows_per_bucket: int, nulls: Column | None = None, per_part: int = 1, least: int = 96) -> tuple[Column, int]:
+    """A bucket number that rises with ``id_col``, and the partitions to deal buckets over, about ``per_part`` in each.
+
+    Null ids come first: bucket -1, or, by the hash ``nulls``, ``NULL_BUCKETS`` of them.
 
     The bounds are up to 256 approximate quantiles of the ids (one pass over that
     column, a result of fixed size), each range cut evenly into as many parts
@@ -18,8 +20,10 @@ def order_buckets(df: DataFrame, id_col: str, rows_per_bucket: int, least: int =
     """
     shares = [k / QUANTILES for k in range(1, QUANTILES)]
     row = df.agg(F.count(id_col).alias("n"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.percentile_approx(id_col, shares, 10_000).alias("q")).first()
+    none = F.lit(-1).cast("long") if nulls is None else -1 - F.pmod(nulls, F.lit(NULL_BUCKETS)).cast("long")
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if not row["n"]:
-        return F.lit(-1).cast("long")
+        return none, usual
     wanted = max(least, row["n"] // rows_per_bucket)
     bounds = sorted({row["lo"], *row["q"]})
     parts = max(1, -(-wanted // len(bounds)))
@@ -28,4 +32,9 @@ def order_buckets(df: DataFrame, id_col: str, rows_per_bucket: int, least: int =
     k = F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda x: x <= F.col(id_col)))
     a, b = F.element_at(low, k), F.element_at(high, k)
     inner = F.least(F.lit(parts - 1), F.floor((F.col(id_col).cast("double") - a) / F.greatest(b - a, F.lit(1.0)) * parts))
-    return F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise((k - 1) * parts + inner).cast("long")
+    return F.when(F.col(id_col).isNull(), none).otherwise((k - 1) * parts + inner).cast("long"), max(usual, wanted // per_part)
+
+
+def order_buckets(df: DataFrame, id_col: str, rows_per_bucket: int, least: int = 96) -> Column:
+    """The bucket number alone; null ids have bucket -1."""
+    return ordered_parts(df, id_col, rows_per_bucket, least=least)[0]

@@ -18,8 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievedeck.llm.docorder import order_buckets
-from sievedeck.session import release, staged
+from sievedeck.llm.docorder import ordered_parts
+from sievedeck.session import staged, unused
 
 LANES = 4
 
@@ -50,15 +50,17 @@ def _settle(df: DataFrame, digest_col: str, canon_col: str, mixed: DataFrame | N
     """Replace a digest by the fingerprint."""
     if mixed is None:
         return df
-    joined = df.join(mixed.select(F.col("digest").alias("__mixed")), F.col(digest_col) == F.col("__mixed"), "left")
-    made = F.when(F.col("__mixed").isNull(), F.col(digest_col)).otherwise(F.concat(digest_col, F.lit("-"), F.sha2(F.col(canon_col), 256)))
-    return joined.withColumn(digest_col, made).drop("__mixed")
+    (name,) = unused(df, "__mixed")
+    joined = df.join(mixed.select(F.col("digest").alias(name)), F.col(digest_col) == F.col(name), "left")
+    made = F.when(F.col(name).isNull(), F.col(digest_col)).otherwise(F.concat(digest_col, F.lit("-"), F.sha2(F.col(canon_col), 256)))
+    return joined.withColumn(digest_col, made).drop(name)
 
 
 def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
     """Add the fingerprint of each text."""
-    made = df.withColumn("__canon", canonical(F.col(text_col))).withColumn(out_col, digest(F.col("__canon")))
-    return _settle(made, out_col, "__canon", mixed_digests(made.select(F.col("__canon").alias("canon"), F.col(out_col).alias("digest")))).drop("__canon")
+    (name,) = unused(df, "__canon")
+    made = df.withColumn(name, canonical(F.col(text_col))).withColumn(out_col, digest(F.col(name)))
+    return _settle(made, out_col, name, mixed_digests(made.select(F.col(name).alias("canon"), F.col(out_col).alias("digest")))).drop(name)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -72,7 +74,8 @@ def next_texts(df: DataFrame, rows_per_bucket: int = 4096) -> DataFrame:
     Rows are dealt by ranges of ids, so there is no global sort: a row's follower is in its own range,
     but for the last one's, which is the first row of the next range that has any.
     """
-    dealt = df.withColumn("bucket", order_buckets(df, "doc_id", rows_per_bucket))
+    bucket, parts = ordered_parts(df, "doc_id", rows_per_bucket, F.xxhash64("text"), 8)
+    dealt = df.withColumn("bucket", bucket).repartition(parts, "bucket")
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
     placed = dealt.select("*", F.lead("text").over(order).alias("next_text"), F.lead("digest").over(order).alias("next_digest"), F.lead(F.lit(1)).over(order).alias("more"), F.row_number().over(order).alias("nth"))
     inner = placed.where("more = 1")
@@ -89,13 +92,15 @@ def fingerprint_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     made = docs.withColumn("canon", canonical(F.col("text"))).withColumn("digest", digest(F.col("canon")))
     mixed = mixed_digests(made.select("canon", "digest"))
-    release(df.sparkSession)
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
     rows = _settle(made, "digest", "canon", mixed).select("doc_id", "text", "digest")
     edited = (
-        next_texts(rows).select("doc_id", n.cast("long").alias("n_chars"), "digest", "next_digest", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
+        next_texts(rows).select("doc_id", n.cast("long").alias("n_chars"), "text", "digest", "next_digest", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
         .withColumn("canon", canonical(F.col("edited"))).withColumn("edited_digest", digest(F.col("canon")))
     )
+    # The bytes of a text and of its edited form are compared where their digests agree.
+    other = (F.col("digest") == F.col("edited_digest")) & (canonical(F.col("text")) != F.col("canon"))
+    edited = edited.withColumn("edited_digest", F.when(other, F.concat("edited_digest", F.lit("-"), F.sha2("canon", 256))).otherwise(F.col("edited_digest")))
     return _settle(edited, "edited_digest", "canon", mixed).select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.col("digest").alias("fingerprint"), F.col("edited_digest").alias("edited_fingerprint"),
         likeness(F.col("digest"), F.col("edited_digest")).alias("near_edited"), likeness(F.col("digest"), F.col("next_digest")).alias("near_next"),

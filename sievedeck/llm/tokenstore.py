@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievedeck.llm.docorder import order_buckets
+from sievedeck.llm.docorder import ordered_parts
 from sievedeck.llm.textvec import encode_documents, library_encoder
 from sievedeck.session import ensure_importable, forget, shared_dir, staged
 
@@ -240,10 +240,11 @@ def write_token_store(df: DataFrame, tokenizer: str, folder: str | None = None,
             done.append(out.close())
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], pa.int64()) for k in range(3)], names=["bucket", "n_docs", "n_tokens"])
 
+    bucket, parts = ordered_parts(docs, "doc_id", rows_per_shard, F.xxhash64("text"))
     shards = (
-        docs.select(order_buckets(docs, "doc_id", rows_per_shard).alias("bucket"), "doc_id", "text")
+        docs.select(bucket.alias("bucket"), "doc_id", "text")
         .mapInArrow(compress, "bucket long, doc_id long, n_tokens long, frame binary")
-        .repartition("bucket").sortWithinPartitions("bucket", "doc_id", "frame")
+        .repartition(parts, "bucket").sortWithinPartitions("bucket", "doc_id", "frame")
         .mapInArrow(write, "bucket long, n_docs long, n_tokens long")
     )
     return TokenStore(folder, dictionary, staged(shards, "shards"))
