@@ -50,11 +50,13 @@ def _blocks(data: np.ndarray, offs: np.ndarray, window: int) -> tuple[np.ndarray
     seed = min(SEED, window)
     grams = sequence_hash(h[0], seed)
     width = window - seed + 1
-    best, at = grams[:n].copy(), np.zeros(n, np.int64)
-    for j in range(1, width):
-        less = grams[j : n + j] < best
-        best[less], at[less] = grams[j : n + j][less], j
-    place = np.arange(n) + at
+    # The first least gram of ``width`` in a row: of 1, 2, 4 ..., and of two such runs that overlap.
+    place, span = np.arange(len(grams)), 1
+    while span < width:
+        reach = min(span, width - span)
+        left, right = place[: len(place) - reach], place[reach:]
+        place = np.where(grams[right] < grams[left], right, left)
+        span += reach
     whole = doc[:n] == doc[window - 1 :]
     place = place[whole]
     at = np.flatnonzero(whole)

@@ -49,13 +49,34 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
     return numbered.dictionary.to_pylist(), numbered.indices.to_numpy()[0::2]
 
 
+#: Masks that keep the first 0 to 8 bytes of a little-endian number.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two halves of the xxh3-128 digest of each span; each different string is hashed once."""
-    from xxhash import xxh3_128_digest
+    """Two 64-bit halves of a hash of each span.
 
-    strings, which = distinct_spans(data, starts, ends)
-    table = np.frombuffer(b"".join(map(xxh3_128_digest, strings)), "<u8").reshape(-1, 2)
-    return table[which, 0], table[which, 1]
+    Spans of at most 16 bytes and one length are mapped one to one (their bytes are two numbers that
+    rounds of bijections mix), so different ones never have equal hashes; longer ones have their xxh3-128 digest.
+    """
+    size = ends - starts
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    number = np.ndarray((len(data) + 9,), "<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    a = number[starts] & _KEEP[np.minimum(size, 8)]
+    b = number[starts + 8] & _KEEP[np.clip(size - 8, 0, 8)]
+    a ^= size.astype(np.uint64) * _GOLD
+    for _ in range(2):
+        a = mix(a + b * _JOIN)
+        b = mix(b ^ a * _GOLD)
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        from xxhash import xxh3_128_digest
+
+        raw = padded.tobytes()
+        digests = b"".join([xxh3_128_digest(raw[x:y]) for x, y in zip(starts[long].tolist(), ends[long].tolist(), strict=True)])
+        a[long], b[long] = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+    return a, b
 
 
 def sequence_hash(items: np.ndarray, k: int, lane: int = 0) -> np.ndarray:

@@ -53,6 +53,17 @@ def test_hashes_tell_thue_morse_words_apart(pairs):
             assert h[0] != h[1] and textvec.sequence_hash(items, n, lane)[0] != textvec.sequence_hash(items, n, lane)[4096]
 
 
+def test_short_spans_have_hashes_of_their_own():
+    r = random.Random(6)
+    words = sorted({bytes(r.choice(b"ab\0") for _ in range(r.randrange(1, 40))) for _ in range(30000)} | {b"a" * n for n in range(1, 40)})
+    data, ends = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    h = textvec.span_hash(data, starts, ends)
+    assert len(set(h[0].tolist())) == len(set(h[1].tolist())) == len(words)
+    again = textvec.span_hash(np.frombuffer(b"xx" + words[5] + b"yyyyyyyyyyyyyyyyyyy", np.uint8), np.array([2]), np.array([2 + len(words[5])]))
+    assert (again[0][0], again[1][0]) == (h[0][5], h[1][5])
+
+
 def test_thue_morse_tokens(spark, pairs):
     docs = table(spark, pairs)
     crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
