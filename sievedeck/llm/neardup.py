@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievedeck.llm.joins import salted_join
 from sievedeck.llm.textvec import LOWER, distinct_spans, mix, only, range_hash, sequence_hash, span_hash, text_slices, words
 from sievedeck.session import discard, ensure_importable, staged
 
@@ -271,8 +272,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = rows.schema["doc_id"].dataType
     full = rows.where("doc_id IS NOT NULL AND n_shingles > 0").withColumn("doc_id", F.col("doc_id").cast("long"))
     equal = ["s1", "s2", "n_shingles"]
-    classes = full.groupBy(*equal).agg(F.min(F.struct("doc_id", "row")).alias("rep"))
-    member = full.select("doc_id", *equal).join(classes, equal).select("doc_id", F.col("rep.doc_id").alias("rep"))
+    classes = staged(full.groupBy(*equal).agg(F.min(F.struct("doc_id", "row")).alias("rep"), F.count("*").alias("n")), "classes")
+    member = salted_join(full.select("doc_id", "row", *equal), classes, equal, ["doc_id", "row"]).select("doc_id", F.col("rep.doc_id").alias("rep"))
     reps = full.join(classes.select(*equal, F.col("rep.doc_id").alias("doc_id"), F.col("rep.row").alias("row")), [*equal, "doc_id", "row"]).withColumnRenamed("doc_id", "v")
     banded = reps.select(F.struct("v", "row").alias("m"), F.posexplode("keys").alias("band", "key"))
     buckets = banded.groupBy("key").agg(F.min("m").alias("hub"), F.max("m").alias("top")).where("hub < top").select("key", "hub")
