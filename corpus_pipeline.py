@@ -7,12 +7,14 @@ All but the last return the columns of documents. A text that a stage changes ge
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievedeck.llm import lines, neardup, packing, substrings, toxicity
-from sievedeck.session import ensure_importable, staged
+from sievedeck.session import discard, ensure_importable, small_batches, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +43,23 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(docs, public_tokenizers.path("byte_bpe_50k.json"), added_tokens=True)
 
 
+def _stage(function):
+    """The stage in a session whose Python batches are small, for long documents."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("line_dedup", drop_repeated_lines),
-    ("near_dedup", drop_near_duplicates),
-    ("substring_dedup", drop_repeated_passages),
-    ("packing", pack),
+    ("toxicity", _stage(drop_toxic)),
+    ("line_dedup", _stage(drop_repeated_lines)),
+    ("near_dedup", _stage(drop_near_duplicates)),
+    ("substring_dedup", _stage(drop_repeated_passages)),
+    ("packing", _stage(pack)),
 ]
 #: Trained scores and hashes of several stages have no SQL form; tests/llm compare with brute force.
 ORACLE_SQL = None
@@ -56,6 +69,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents of ``sf_dir``, each written to the shared folder and read again."""
     ensure_importable(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        after = staged(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
