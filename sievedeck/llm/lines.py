@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sievedeck.llm.joins import salted_join
 from sievedeck.llm.textvec import distinct_spans, only, sequence_hash, span_hash, text_slices
-from sievedeck.session import discard, ensure_importable, staged, unused
+from sievedeck.session import discard, ensure_importable, staged, tidy, unused
 
 WINDOW, MODULUS = 2, 3
 
@@ -203,7 +203,8 @@ def _line_rows(df: DataFrame, id_col: str, text_col: str, how: int | str) -> Dat
 def lines_collide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: int | str = FAST) -> bool:
     """Whether two lines of different bytes have one hash."""
     kinds = _line_rows(df, id_col, text_col, how).distinct().groupBy("h1", "h2").agg(F.count("*").alias("kinds"))
-    return not kinds.where("kinds > 1").isEmpty()
+    with tidy(df.sparkSession):
+        return kinds.where("kinds > 1").limit(1).count() > 0
 
 
 def repeated_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", how: int | str = FAST) -> DataFrame:

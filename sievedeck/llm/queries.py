@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievedeck.llm import bpe, fingerprints, jpeg, licences, lines, neardup, packing, substrings, tokenstore, toxicity
+from sievedeck.session import small_batches
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -103,6 +103,32 @@ def test_histogram_packing_keeps_every_piece(counts):
     assert got == collections.Counter(counts)
 
 
+@functools.lru_cache
+def fewest(left, capacity=20):
+    """The least number of sequences for these lengths (descending), by trying every first sequence."""
+    if not left:
+        return 0
+
+    def fills(at, room):
+        yield ()
+        for k in range(at, len(left)):
+            if left[k] <= room:
+                for more in fills(k + 1, room - left[k]):
+                    yield (k, *more)
+
+    best = len(left)
+    for rest in set(fills(1, capacity - left[0])):
+        best = min(best, 1 + fewest(tuple(x for k, x in enumerate(left) if k and k not in rest), capacity))
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
+def test_packing_against_the_optimum(lengths):
+    plan = packing.pack_histogram(dict(collections.Counter(lengths)), 20)
+    assert fewest(tuple(sorted(lengths, reverse=True))) <= sum(n for _, n in plan) <= fewest(tuple(sorted(lengths, reverse=True))) + 1
+
+
 def test_exact_complements_leave_no_gap():
     plan = packing.pack_histogram({700: 5, 324: 5, 500: 2, 300: 2, 224: 2, 450: 1, 250: 1, 200: 1, 124: 1}, 1024)
     assert all(sum(c) == 1024 for c, _ in plan)
