@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievedeck.functions.text import INDEX_WORD, WORD, tokens
-from sievedeck.session import discard, staged
+from sievedeck.session import discard, staged, unused
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -174,5 +174,14 @@ class TfidfIndex:
 
 
 def positions(df: DataFrame, order: Column | str) -> DataFrame:
-    """Add doc_id counted from 0 by a stable order, for tables without a key (small ones: one task counts)."""
-    return df.withColumn("doc_id", (F.row_number().over(Window.orderBy(order)) - 1).cast("long"))
+    """Add doc_id counted from 0 by an order, for tables without a key.
+
+    The sorted table is staged with the number of the range each row is in; rows are counted within
+    their range, after the rows of all ranges before, so only one number a range meets in one task.
+    """
+    (part,) = unused(df, "__part")
+    ranges = staged(df.orderBy(order).withColumn(part, F.spark_partition_id()), "positions")
+    sizes = ranges.groupBy(part).agg(F.count("*").alias("__n"))
+    before = sizes.select(part, (F.sum("__n").over(Window.orderBy(part)) - F.col("__n")).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1
+    return ranges.withColumn("doc_id", nth).join(F.broadcast(before), part).withColumn("doc_id", (F.col("__before") + F.col("doc_id")).cast("long")).drop(part, "__before")

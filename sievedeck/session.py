@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Staged tables between two calls of ``release``.
+RELEASE_EVERY = 3
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _MADE: list[tuple[SparkSession, str]] = []
 
@@ -78,6 +80,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     with tidy(spark):
         df.write.option("compression", "zstd").parquet(path)
     _MADE.append((spark, path))
+    if len(_MADE) % RELEASE_EVERY == 0:
+        release(spark)
     made = spark.read.schema(df.schema).parquet(path)
     made._staged_path = path
     return made
@@ -103,6 +107,15 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the broadcast tables of jobs that are over.
+
+    Executors hold them until the driver has collected its references to them, which on a quiet
+    heap may be long after; Spark itself asks for that twice an hour (spark.cleaner.periodicGC.interval).
+    """
+    spark._jvm.System.gc()
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Remember a folder for deletion at exit."""
     _MADE.append((spark, path))

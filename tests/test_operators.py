@@ -271,6 +271,14 @@ def test_ranks_lookups_and_listings(spark):
     assert {r["gram"] for r in shingles.shingle_rows(docs(spark, ["a b c d"]), joiner="_").collect()} == {"a_b_c", "b_c_d"}
 
 
+def test_positions_count_over_ranges(spark):
+    r = random.Random(4)
+    names = [f"n{r.randrange(10**9)}" for _ in range(500)]
+    got = positions(spark.createDataFrame([(n, 1) for n in names], "t string, x int").repartition(7), "t").collect()
+    assert [x["t"] for x in sorted(got, key=lambda x: x["doc_id"])] == sorted(names) and {x["doc_id"] for x in got} == set(range(500))
+    assert positions(spark.createDataFrame([], "t string"), "t").collect() == []
+
+
 def test_copies_expand_to_all_pairs(spark):
     sigs = spark.createDataFrame([(k, [1] * 50) for k in range(30)] + [(100 + k, [1] * 45 + [2] * 5) for k in range(20)] + [(200, [3] * 50)], "doc_id long, sig array<long>")
     want = {(a, b): 50 if (a < 100) == (b < 100) else 45 for a in [*range(30), *range(100, 120)] for b in [*range(30), *range(100, 120)] if a < b}
