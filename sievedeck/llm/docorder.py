@@ -32,7 +32,9 @@ def ordered_parts(df: DataFrame, id_col: str, rows_per_bucket: int, nulls: Colum
     k = F.size(F.filter(F.lit(bounds).cast("array<long>"), lambda x: x <= F.col(id_col)))
     a, b = F.element_at(low, k), F.element_at(high, k)
     inner = F.least(F.lit(parts - 1), F.floor((F.col(id_col).cast("double") - a) / F.greatest(b - a, F.lit(1.0)) * parts))
-    return F.when(F.col(id_col).isNull(), none).otherwise((k - 1) * parts + inner).cast("long"), max(usual, wanted // per_part)
+    # Never null to the optimiser either, so that joins on it put no filter between uses of one exchange.
+    bucket = F.coalesce(F.when(F.col(id_col).isNull(), none).otherwise((k - 1) * parts + inner).cast("long"), F.lit(-1).cast("long"))
+    return bucket, max(usual, wanted // per_part)
 
 
 def order_buckets(df: DataFrame, id_col: str, rows_per_bucket: int, least: int = 96) -> Column:

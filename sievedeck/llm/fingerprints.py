@@ -75,13 +75,14 @@ def next_texts(df: DataFrame, rows_per_bucket: int = 4096) -> DataFrame:
     but for the last one's, which is the first row of the next range that has any.
     """
     bucket, parts = ordered_parts(df, "doc_id", rows_per_bucket, F.xxhash64("text"), 8)
-    dealt = df.withColumn("bucket", bucket).repartition(parts, "bucket")
+    marked = df.withColumn("bucket", bucket)
+    dealt = marked.repartition(parts, "bucket")  # the same exchange for the three uses below
     order = Window.partitionBy("bucket").orderBy("doc_id", "text")
     placed = dealt.select("*", F.lead("text").over(order).alias("next_text"), F.lead("digest").over(order).alias("next_digest"), F.lead(F.lit(1)).over(order).alias("more"), F.row_number().over(order).alias("nth"))
     inner = placed.where("more = 1")
     by_bucket = Window.orderBy("bucket")  # a row a range
     heads = placed.where("nth = 1").select("bucket", F.col("text").alias("head_text"), F.col("digest").alias("head_digest"))
-    before = heads.select("bucket").select("bucket", F.lag("bucket").over(by_bucket).alias("b"), F.max("bucket").over(Window.partitionBy()).alias("top")).select("bucket", F.coalesce("b", "top").alias("last_of"))
+    before = marked.select("bucket").distinct().select("bucket", F.lag("bucket").over(by_bucket).alias("b"), F.max("bucket").over(Window.partitionBy()).alias("top")).select("bucket", F.coalesce("b", "top").alias("last_of"))
     heads = heads.join(before, "bucket").select(F.col("last_of").alias("bucket"), "head_text", "head_digest")
     last = placed.where("more IS NULL").join(heads, "bucket").select(*df.columns, F.col("head_text").alias("next_text"), F.col("head_digest").alias("next_digest"))
     return inner.select(*df.columns, "next_text", "next_digest").unionByName(last)
@@ -89,7 +90,8 @@ def next_texts(df: DataFrame, rows_per_bucket: int = 4096) -> DataFrame:
 
 def fingerprint_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited form, whose latter half is the next document's beginning."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    doc_id = F.col(id_col) if id_col == "doc_id" else F.col(id_col).alias("doc_id")  # an alias to the same name would keep exchanges apart
+    docs = df.select(doc_id, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     made = docs.withColumn("canon", canonical(F.col("text"))).withColumn("digest", digest(F.col("canon")))
     mixed = mixed_digests(made.select("canon", "digest"))
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
