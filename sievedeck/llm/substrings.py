@@ -29,12 +29,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievedeck.llm.joins import salted_join
 from sievedeck.llm.textvec import gather, mix, only, sequence_hash, span_hash, text_slices, words
-from sievedeck.session import discard, ensure_importable, staged, unused
+from sievedeck.session import discard, ensure_importable, release, staged, unused
 
 WINDOW, SEED = 20, 6
 
@@ -158,6 +159,7 @@ def matches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     whole = whole.select("doc_id", "row", F.floor(F.col("place") / 64).alias("at"), (F.col("place") % 64 + 1).alias("windows"), F.col("ref.doc_id").alias("ref_doc"), F.floor(F.col("ref.place") / 64).alias("ref_at"))
     found = staged(whole.unionByName(singles).groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "windows", "ref_doc", "ref_at")).alias("found")), "found")
     discard(seeds, blocks, index, rows, first)
+    release(df.sparkSession)
     return found
 
 
@@ -217,21 +219,25 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found_id, found_row, found_col = unused(df, "__id", "__row", "__found")
     found = matches(df, id_col, text_col, window).toDF(found_id, found_row, found_col)
 
-    @F.pandas_udf("struct<text: string, n_words: long, n_removed: long, kept_sha256: string, factors: array<struct<start: long, words: long, ref_doc: long, ref_start: long>>>")
-    def strip(texts, lists):
-        import pandas as pd
-
-        parsed = [[] if x is None else factor(np.array([(r["at"], r["windows"], r["ref_doc"], r["ref_at"]) for r in x], np.int64).reshape(-1, 4), window) for x in lists]
-        out = {"text": [], "n_words": [], "n_removed": [], "kept_sha256": []}
-        for row, stop, data, offs in text_slices(pa.array(texts, pa.string())):
-            left, kept, n, removed = _stripped(data, offs, parsed[row:stop])
-            out["text"] += [x.decode() for x in left]
-            out["kept_sha256"] += [hashlib.sha256(x).hexdigest() for x in kept]
-            out["n_words"] += n
-            out["n_removed"] += removed
-        out["text"] = [None if z else t for t, z in zip(out["text"], texts.isna().tolist(), strict=True)]
+    @F.arrow_udf("struct<text: string, n_words: long, n_removed: long, kept_sha256: string, factors: array<struct<start: long, words: long, ref_doc: long, ref_start: long>>>")
+    def strip(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        runs = lists.flatten()
+        rows = np.stack([runs.field(c).to_numpy(zero_copy_only=False) for c in ("at", "windows", "ref_doc", "ref_at")], axis=1) if len(runs) else np.zeros((0, 4), np.int64)
+        edges = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
+        parsed = [factor(rows[x:y], window) if y > x else [] for x, y in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
+        left, kept, n_words, n_removed = [], [], [], []
+        for row, stop, data, offs in text_slices(texts):
+            said, joined, n, removed = _stripped(data, offs, parsed[row:stop])
+            left += said
+            kept += [hashlib.sha256(x).hexdigest() for x in joined]
+            n_words += n
+            n_removed += removed
+        null = np.asarray(pc.is_null(texts))
+        flat = np.array([f for own in parsed for f in own], np.int64).reshape(-1, 4)
         names = ("start", "words", "ref_doc", "ref_start")
-        return pd.DataFrame(out | {"factors": [[dict(zip(names, f, strict=True)) for f in x] for x in parsed]})
+        factors = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(own) for own in parsed])), pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in flat.T], names=names))
+        columns = [pa.array(left, pa.binary(), mask=null).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), factors]
+        return pa.StructArray.from_arrays(columns, names=["text", "n_words", "n_removed", "kept_sha256", "factors"])
 
     own = (df[id_col].cast("long") == F.col(found_id)) & (F.xxhash64(df[text_col]) == F.col(found_row))
     joined = df.join(found, own, "left").drop(found_id, found_row)
