@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievedeck.llm import lines, neardup, packing, substrings, toxicity
-from sievedeck.session import discard, ensure_importable, small_batches, staged
+from sievedeck.session import discard, ensure_importable, release, small_batches, staged
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +49,7 @@ def _stage(function):
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         small_batches(spark)
+        release(spark)
         return function(spark, docs, sf_dir)
 
     return run_stage
