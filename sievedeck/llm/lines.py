@@ -29,6 +29,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -258,17 +259,19 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ou
         .groupBy(F.col("doc_id").alias(found_id)).agg(F.collect_list(F.struct(*keys)).alias(gone_col))
     )
 
-    @F.pandas_udf("struct<text: string, n_lines: long, n_removed: long>")
-    def strip(texts, lists):
-        import pandas as pd
-
+    @F.arrow_udf("struct<text: string, n_lines: long, n_removed: long>")
+    def strip(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        found = lists.flatten()
+        said = [found.field(k).to_numpy(zero_copy_only=False) for k in keys]
+        edges = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))).tolist()
         out: tuple[list, list, list] = ([], [], [])
-        sets = [frozenset() if x is None else frozenset(tuple(r[k] for k in keys) for r in x) for x in lists]
-        for row, stop, data, offs in text_slices(pa.array(texts, pa.string())):
-            for column, values in zip(out, strip_slice(data, offs, sets[row:stop]), strict=True):
+        for row, stop, data, offs in text_slices(texts):
+            sets = [frozenset(zip(*(c[a:b].tolist() for c in said), strict=True)) if b > a else frozenset() for a, b in zip(edges[row:stop], edges[row + 1 : stop + 1], strict=True)]
+            for column, values in zip(out, strip_slice(data, offs, sets), strict=True):
                 column += values
-        null = texts.isna().tolist()
-        return pd.DataFrame({"text": [None if z else t.decode() for t, z in zip(out[0], null, strict=True)], "n_lines": [0 if z else k for k, z in zip(out[1], null, strict=True)], "n_removed": out[2]})
+        null = np.asarray(pc.is_null(texts))
+        n_lines = np.where(null, 0, np.array(out[1], np.int64)) if len(texts) else np.zeros(0, np.int64)
+        return pa.StructArray.from_arrays([pa.array(out[0], pa.binary(), mask=null).cast(pa.string()), pa.array(n_lines), pa.array(out[2], pa.int64())], names=["text", "n_lines", "n_removed"])
 
     joined = df.join(gone, df[id_col] == F.col(found_id), "left").drop(found_id)
     made = joined.withColumn(made_col, F.when(F.col(id_col).isNotNull(), strip(F.col(text_col), F.col(gone_col))))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievedeck.llm.joins import salted_join
-from sievedeck.llm.textvec import LOWER, distinct_spans, mix, only, range_hash, sequence_hash, span_hash, text_slices, words
+from sievedeck.llm.textvec import LOWER, distinct_spans, mix, only, range_hash, sequence_hash, span_hash, text_slices, trim, words
 from sievedeck.session import discard, ensure_importable, staged
 
 BANDS, ROWS, BITS, STAR_BANDS = 32, 4, 2048, 8
@@ -179,7 +179,7 @@ def common_shingles(a: pa.Array, b: pa.Array, k: int) -> tuple[np.ndarray, np.nd
     return common, size[:m] + size[m:] - common
 
 
-PAIR_BYTES = 1 << 22
+PAIR_BYTES = 1 << 21
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -198,6 +198,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 keep = pa.array(100 * common >= percent * union)
                 yield pa.RecordBatch.from_arrays([c.slice(at, stop - at).filter(keep) for c in batch.columns[:2]], names=["a", "b"])
                 at = stop
+            trim()
 
     return both.mapInArrow(run, "a long, b long")
 

@@ -113,6 +113,7 @@ def range_hash(items: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: in
 
 def trim() -> None:
     """Give freed memory back to the system; a worker otherwise keeps its largest use for the next task."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
         ctypes.CDLL(None).malloc_trim(0)
 
