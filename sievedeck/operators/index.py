@@ -49,45 +49,57 @@ def parse_ranks(text: str | None) -> list[int]:
 
 @dataclass
 class TfidfIndex:
-    """rows(doc_id, term, tf, x), vocab(term, df, idf) and docs(doc_id).
+    """rows(doc_id, term, tf, x), vocab(term, df, idf) and docs(doc_id, and length where stored).
 
     ``x`` is tf times idf. An index as built is a plan: a search over it is one aggregation by document,
     of lengths and products together, and ``rows`` then have a row without a weight for terms outside the
     vocabulary and for documents without words, so no document is missing from it. A stored one
-    (``staged`` or ``load``) has x divided by the document's length and is searched by term.
+    (``staged`` or ``load``) has the rows of the vocabulary alone and the documents' lengths, and is searched by term.
     """
 
     rows: DataFrame
     vocab: DataFrame
     docs: DataFrame
     stored: bool = False
+    counts: DataFrame | None = None
+    bounds: tuple[int, float] = (1, 1.0)
 
     @classmethod
     def build(cls, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_df: int = 1, max_df: float = 1.0) -> TfidfIndex:
         docs = spread(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text IS NOT NULL"), "doc_id")
         tf = docs.select("doc_id", F.explode_outer(tokens(F.col("text"), INDEX_WORD)).alias("term")).groupBy("doc_id", "term").agg(F.count("term").alias("tf"))
+        return cls._of(tf, docs.select("doc_id"), (min_df, max_df))
+
+    @classmethod
+    def _of(cls, tf: DataFrame, docs: DataFrame, bounds: tuple[int, float], keep=lambda table: table) -> TfidfIndex:
         size = docs.agg(F.count("*").alias("n"))  # one row
-        vocab = tf.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).where((F.col("df") >= min_df) & (F.col("df") <= max_df * F.col("n")))
-        vocab = vocab.select("term", "df", (F.log((1 + F.col("n")).cast("double") / (1 + F.col("df"))) + 1).alias("idf"))
+        vocab = tf.where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size)).where((F.col("df") >= bounds[0]) & (F.col("df") <= bounds[1] * F.col("n")))
+        vocab = keep(vocab.select("term", "df", (F.log((1 + F.col("n")).cast("double") / (1 + F.col("df"))) + 1).alias("idf")))
         rows = tf.join(vocab, "term", "left").select("doc_id", "term", "tf", (F.col("tf") * F.col("idf")).alias("x"))
-        return cls(rows, vocab, docs.select("doc_id"))
+        return cls(rows, vocab, docs, counts=tf, bounds=bounds)
 
     @property
     def weights(self) -> DataFrame:
         """doc_id, term, tf, w of all terms of the vocabulary; w is normalised by document."""
         if self.stored:
-            return self.rows.withColumnRenamed("x", "w")
+            return self.rows.join(self.docs, "doc_id").select("doc_id", "term", "tf", (F.col("x") / F.col("length")).alias("w"))
         length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("doc_id")))
         return self.rows.where("x IS NOT NULL").select("doc_id", "term", "tf", (F.col("x") / length).alias("w"))
 
-    def _tables(self) -> dict[str, DataFrame]:
-        return {"weights": self.weights, "vocab": self.vocab, "docs": self.docs}
+    def _store(self, write: Callable[[DataFrame, str], DataFrame]) -> TfidfIndex:
+        """The index with its tables written; counts of words are worked out once and go when they have been used."""
+        counts = staged(self.counts, "counts")
+        made = TfidfIndex._of(counts, self.docs, self.bounds, lambda vocab: write(vocab, "vocab"))
+        rows = write(made.rows.where("x IS NOT NULL"), "rows")
+        lengths = rows.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+        docs = write(self.docs.join(lengths, "doc_id", "left").select("doc_id", F.coalesce("length", F.lit(0.0)).alias("length")), "docs")
+        discard(counts)
+        return TfidfIndex(rows, made.vocab, docs, True)
 
     def staged(self) -> TfidfIndex:
         """The index written to the shared folder, for several searches; see ``discard``."""
-        made = {name: staged(table, name) for name, table in self._tables().items()}
-        out = TfidfIndex(made["weights"].withColumnRenamed("w", "x"), made["vocab"], made["docs"], True)
-        out._staged = list(made.values())
+        out = self._store(staged)
+        out._staged = [out.rows, out.vocab, out.docs]
         return out
 
     def discard(self) -> None:
@@ -95,13 +107,15 @@ class TfidfIndex:
         discard(*self.__dict__.pop("_staged", ()))
 
     def save(self, path: str) -> None:
-        for name, table in self._tables().items():
+        def write(table: DataFrame, name: str) -> DataFrame:
             table.write.mode("overwrite").parquet(f"{path}/{name}")
+            return table.sparkSession.read.schema(table.schema).parquet(f"{path}/{name}")
+
+        self._store(write)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TfidfIndex:
-        weights, vocab, docs = (spark.read.parquet(f"{path}/{name}") for name in ("weights", "vocab", "docs"))
-        return cls(weights.withColumnRenamed("w", "x"), vocab, docs, True)
+        return cls(*(spark.read.parquet(f"{path}/{name}") for name in ("rows", "vocab", "docs")), stored=True)
 
     def query_vectors(self, queries: DataFrame) -> DataFrame:
         """query_id, term, w (normalised) of queries(query_id, text); words outside the vocabulary are dropped."""
@@ -117,12 +131,12 @@ class TfidfIndex:
 
     def rank_all(self, vector: DataFrame) -> DataFrame:
         """doc_id, score (cosine with the vector (term, w), rounded to 6) of every document, 0 where nothing matches."""
-        length = vector.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qnorm"))  # one row
-        met = self.rows.join(vector.select("term", F.col("w").alias("qw")), "term", "inner" if self.stored else "left")
-        own = F.lit(1.0) if self.stored else F.sqrt(F.sum(F.col("x") * F.col("x")))
-        dots = met.groupBy("doc_id").agg(F.sum(F.col("x") * F.col("qw")).alias("dot"), own.alias("length")).crossJoin(F.broadcast(length))
-        scores = dots.select("doc_id", F.round(F.coalesce(F.try_divide("dot", F.col("length") * F.col("qnorm")), F.lit(0.0)), 6).alias("score"))
-        return self.docs.join(scores, "doc_id", "left").select("doc_id", F.coalesce("score", F.lit(0.0)).alias("score")) if self.stored else scores
+        own = vector.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qnorm"))  # one row
+        met = self.rows.join(vector.select("term", F.col("w").alias("qw")), "term", "inner" if self.stored else "left").groupBy("doc_id")
+        dot = F.sum(F.col("x") * F.col("qw")).alias("dot")
+        dots = self.docs.join(met.agg(dot), "doc_id", "left") if self.stored else met.agg(dot, F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+        score = F.round(F.coalesce(F.try_divide("dot", F.col("length") * F.col("qnorm")), F.lit(0.0)), 6)
+        return dots.crossJoin(F.broadcast(own)).select("doc_id", score.alias("score"))
 
     def top(self, vector: DataFrame, k: int) -> DataFrame:
         """rank (from 0), doc_id, score of the first k, by score and then greater id."""
@@ -143,7 +157,7 @@ class TfidfIndex:
         scored = self.weights.join(vectors.select("query_id", "term", F.col("w").alias("qw")), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
         nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id")))
         first = scored.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
-        last = self.docs.orderBy(F.desc("doc_id")).limit(2 * k)  # of these, k at least are not among a query's first k
+        last = self.docs.select("doc_id").orderBy(F.desc("doc_id")).limit(2 * k)  # of these, k at least are not among a query's first k
         padding = queries.select("query_id").crossJoin(F.broadcast(last)).withColumn("score", F.lit(0.0))
         both = first.unionByName(padding.select("query_id", "doc_id", "score")).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
         return both.withColumn("nth", nth).where(F.col("nth") <= k).select("query_id", (F.col("nth") - 1).alias("rank"), "doc_id", "score")

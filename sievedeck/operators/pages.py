@@ -156,13 +156,14 @@ def cloaking_check(normal: DataFrame, bot: DataFrame, key: str = "url", body_col
     )
 
 
-def cluster_pages(features: DataFrame, columns: list[str], k: int = 2, seed: int = 42) -> DataFrame:
-    """Add cluster by k-means on the columns as they are; clusters are numbered by the mean of the first column."""
+def cluster_pages(features: DataFrame, columns: list[str], k: int = 2, seed: int = 42, starts: int = 5) -> DataFrame:
+    """Add cluster by k-means on the columns as they are, of several starts that of least cost; clusters are numbered by the mean of the first column."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
     ready = VectorAssembler(inputCols=columns, outputCol="__v").transform(features)
-    model = KMeans(k=k, seed=seed, featuresCol="__v", predictionCol="__p").fit(ready)
+    models = [KMeans(k=k, seed=seed + n, maxIter=50, tol=0.0, featuresCol="__v", predictionCol="__p").fit(ready) for n in range(starts)]
+    model = min(models, key=lambda m: m.summary.trainingCost)
     order = sorted(range(len(model.clusterCenters())), key=lambda i: tuple(model.clusterCenters()[i]))
     number = F.element_at(F.lit([order.index(i) for i in range(len(order))]), F.col("__p") + 1)
     return model.transform(ready).withColumn("cluster", number).drop("__v", "__p")

@@ -257,7 +257,7 @@ def centroid_vectors(spark, sf_dir):
 
 
 SCRIPTS = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<![^>]*>"
-ENTITIES = "replace(replace(replace(replace({}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&')"
+ENTITIES = "regexp_replace(replace(replace(replace({}, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;?', '&', 'g')"
 LINKS = r"""regexp_extract_all(html, '(?is)<a\s[^>]*?\bhref\s*=\s*"([^"]*)"', 1)"""
 PROFILE = rf"""SELECT url,
  coalesce(list_sum(list_transform(regexp_split_to_array(regexp_replace(html, '{SCRIPTS}', '<x>', 'g'), '<[^>]*>'), lambda x: length(regexp_replace({ENTITIES.format("x")}, '^\s+|\s+$', '', 'g')))), 0)::BIGINT AS text_length,
@@ -286,21 +286,26 @@ def page_features(spark, sf_dir):
     return pages.page_features(_t(spark, sf_dir, "pages"))
 
 
-def _lloyd_sql(iterations: int, columns: list[str]) -> str:
+def _lloyd_sql(iterations: int, columns: list[str], starts: tuple[tuple[str, str], ...] = (("min", "max"),)) -> str:
+    """Lloyd steps from each start (the functions that make the two centres); the run of least cost counts."""
     centre = lambda f, g: ", ".join(f"{f(c)} AS {g}_{c}" for c in columns)
     away = lambda g: " + ".join(f"({c} - {g}_{c}) * ({c} - {g}_{c})" for c in columns)
-    steps = f"c0 AS (SELECT {centre(lambda c: f'min({c})::DOUBLE', 'a')}, {centre(lambda c: f'max({c})::DOUBLE', 'b')} FROM feat)"
-    for i in range(iterations + 1):
-        steps += f", l{i} AS MATERIALIZED (SELECT page_id, {', '.join(columns)}, CASE WHEN {away('b')} < {away('a')} THEN 1 ELSE 0 END AS k FROM feat, c{i})"
-        if i < iterations:
-            mean = lambda g: lambda c: f"avg(CASE WHEN k = {g} THEN {c} END)"
-            steps += f", c{i + 1} AS MATERIALIZED (SELECT {centre(mean(0), 'a')}, {centre(mean(1), 'b')} FROM l{i})"
-    return f"WITH {FEATURES}, {steps} SELECT page_id, {', '.join(columns)}, k::INT AS cluster FROM l{iterations}"
-
-
-@query(_lloyd_sql(20, ["word_count", "mode_freq", "http_links"]))
+    mean = lambda g: lambda c: f"avg(CASE WHEN k = {g} THEN {c} END)"
+    steps, out = [], []
+    for s, (low, high) in enumerate(starts):
+        steps.append(f"c{s}_0 AS (SELECT {centre(lambda c: f'{low}({c})::DOUBLE', 'a')}, {centre(lambda c: f'{high}({c})::DOUBLE', 'b')} FROM feat)")  # noqa: B023
+        for i in range(iterations + 1):
+            steps.append(f"l{s}_{i} AS MATERIALIZED (SELECT page_id, {', '.join(columns)}, CASE WHEN {away('b')} < {away('a')} THEN 1 ELSE 0 END AS k, least({away('a')}, {away('b')}) AS d FROM feat, c{s}_{i})")
+            if i < iterations:
+                steps.append(f"c{s}_{i + 1} AS MATERIALIZED (SELECT {centre(mean(0), 'a')}, {centre(mean(1), 'b')} FROM l{s}_{i})")
+        out.append(f"SELECT {s} AS run, sum(d) AS cost FROM l{s}_{iterations}")
+    runs = " UNION ALL ".join(f"SELECT {s} AS run, * FROM l{s}_{iterations}" for s in range(len(starts)))
+    return f"WITH {FEATURES}, {', '.join(steps)} SELECT page_id, {', '.join(columns)}, k::INT AS cluster FROM ({runs}) WHERE run = (SELECT arg_min(run, cost) FROM ({' UNION ALL '.join(out)}))"
+
+
+@query(_lloyd_sql(30, ["word_count", "mode_freq", "http_links"], (("min", "max"), ("min", "avg"), ("avg", "max"))))
 def page_clusters(spark, sf_dir):
-    """K-means of two clusters; the SQL comes to the same by Lloyd steps from the columns' extremes."""
+    """K-means of two clusters, the best of several starts; the SQL takes the best of three by Lloyd steps."""
     features = staged(pages.page_features(_t(spark, sf_dir, "pages")), "features")
     return pages.cluster_pages(features, ["word_count", "mode_freq", "http_links"])
 
@@ -325,12 +330,14 @@ HIDE = r"(?is)<script\b.*?</script\s*>|<nav\b.*?</nav\s*>"
 
 @query(rf"""WITH s AS (SELECT url, regexp_replace(html, '^\s+|\s+$', '', 'g') AS x, regexp_replace(regexp_replace(html, '{HIDE}', '', 'g'), '^\s+|\s+$', '', 'g') AS y FROM pages)
 SELECT url, CASE WHEN length(x) = 0 THEN 'empty_normal' ELSE 'ok' END AS status, length(x)::BIGINT AS len_normal, length(y)::BIGINT AS len_bot, round(abs(length(x) - length(y))::DOUBLE / nullif(length(x), 0), 6) AS ratio,
- coalesce(abs(length(x) - length(y))::DOUBLE / nullif(length(x), 0) > 0.10, false) AS suspicious FROM s""")
+ coalesce(abs(length(x) - length(y))::DOUBLE / nullif(length(x), 0) > 0.10, false) AS suspicious, substr(x, 1, 500) AS normal_preview, substr(y, 1, 500) AS bot_preview,
+ CASE WHEN length(x) = 0 THEN 'the normal response is empty' ELSE concat_ws(chr(10), printf('normal response: %d characters', length(x)), printf('response for bots: %d characters', length(y)), printf('difference: %.2f%%', abs(length(x) - length(y))::DOUBLE / length(x) * 100),
+  CASE WHEN abs(length(x) - length(y))::DOUBLE / length(x) > 0.10 THEN 'more than 10% apart, which may be cloaking' ELSE 'no large difference' END) END AS report FROM s""")
 def cloaking_check(spark, sf_dir):
     p = _t(spark, sf_dir, "pages")
     bot = p.select("url", F.regexp_replace("html", HIDE, "").alias("body"))
     out = pages.cloaking_check(p.select("url", F.col("html").alias("body")), bot)
-    return out.select("url", "status", "len_normal", "len_bot", F.round("ratio", 6).alias("ratio"), "suspicious")
+    return out.select("url", "status", "len_normal", "len_bot", F.round("ratio", 6).alias("ratio"), "suspicious", "normal_preview", "bot_preview", "report")
 
 
 GRAM3 = "list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])"
