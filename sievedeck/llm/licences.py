@@ -108,7 +108,7 @@ def _variants(r: np.random.Generator, text: str, filler: list[str], n: int) -> l
 def training_rows(r: np.random.Generator, variants: int) -> list[tuple[int, str]]:
     """Class and text of the rows to fit and calibrate on."""
     filler = sorted({w for s in OTHER for w in s.split()})
-    rows = [(k, v) for k, own in enumerate(TEMPLATES.values()) for t in own for v in _variants(r, t, filler, variants)]
+    rows = [(k, v) for k, own in enumerate(TEMPLATES.values()) for t in own for v in _variants(r, t, filler, variants * (3 if len(t.split()) > 12 else 1))]
     for family, names in NAMES.items():
         for t in TEMPLATES[family]:
             if set(names) & set(t.split()):
@@ -121,6 +121,10 @@ def training_rows(r: np.random.Generator, variants: int) -> list[tuple[int, str]
     rows += [(other, " ".join(f"qq {words[k]}" for k in r.integers(0, len(words), int(r.integers(1, 6))))) for _ in range(600)]
     small = sorted({w for w in words if len(w) <= 5 and w.isalpha() and w in filler})  # the words of any prose
     rows += [(other, " ".join(small[k] if k < len(small) else "qq" for k in r.integers(0, 2 * len(small), int(r.integers(2, 80))))) for _ in range(1200)]
+    # Pairs of words that notices share with any prose.
+    common = {"of", "the", "and", "in", "to", "is", "a", "an", "it", "or", "on", "at", "by", "for", "with", "as", "be", "all", "any", "no", "this", "that", "from", "not", "may", "are", "you", "we", "us", "was", "has", "have", "its", "shall", "must", "your", "their", "under"}
+    joined = sorted({g for own in TEMPLATES.values() for t in own for g in grams(t) if " " in g and set(g.split()) <= common}) + sorted(common & set(words))
+    rows += [(other, " qq ".join(joined[k] for k in r.integers(0, len(joined), int(r.integers(1, 30))))) for _ in range(1500)]
     return rows + [(other, "qq")] * 600
 
 
@@ -168,15 +172,17 @@ def model(seed: int = 5, variants: int = 24) -> dict:
     threshold = round(float(np.clip(np.quantile(wrong, 0.99) if len(wrong) else 0.5, 0.5, 0.9)), 3)
     # Other text is less probable than one half only if some class is ahead of it by more than -T log(classes - 1).
     least = float(b[-1] - b[:-1].max() - temperature * np.log(len(FAMILIES) - 1))
-    adds = np.maximum(0, (w[:, :-1] - w[:, -1:]).max(1))
-    mass: dict[str, float] = {}
+    ahead = w[:, :-1] - w[:, -1:]
+    most: dict[str, np.ndarray] = {}
+    prose = " ".join(OTHER).split()
     for g, k in vocabulary.items():
-        # A bigram counts at the rarer of its words, so common words carry little.
-        word = min(g.split(), key=lambda x: (times.get(x, 0), x))
-        mass[word] = mass.get(word, 0.0) + float(adds[k])
+        # A word adds what it does; a bigram, which may be there or not, counts at the word that is rarer in prose if it adds.
+        word = min(g.split(), key=lambda x: (prose.count(x), -len(x), x))
+        most[word] = most.get(word, 0) + (ahead[k] if word == g else np.maximum(0, ahead[k]))
+    mass = {word: float(own.max()) for word, own in most.items()}
     return {
         "weights": {g: w[k].tolist() for g, k in vocabulary.items()}, "bias": b.tolist(), "temperature": temperature, "threshold": threshold, "least": least,
-        "mass": {x: m for x, m in mass.items() if m > 0}, "templates": [(k, grams(t)) for k, own in enumerate(TEMPLATES.values()) for t in own],
+        "mass": {x: m for x, m in mass.items() if m}, "templates": [(k, grams(t)) for k, own in enumerate(TEMPLATES.values()) for t in own],
     }
 
 
