@@ -223,39 +223,71 @@ class PieceCache:
     """Works out what belongs to each distinct piece once and keeps it, in bounded memory.
 
     ``learn`` takes the texts of new pieces and returns for each kind the values of
-    all of them one after another, and how many each has. Pieces are known by their bytes;
-    when they and their values take more than ``max_bytes``, they are dropped and learnt again.
+    all of them one after another, and how many each has. Pieces of at most 16 bytes are known by their two hash
+    values and their length, which no two of them share; longer ones, and any that meet another's first
+    value, by their bytes. When there are more than ``max_entries``, or longer ones of more than ``max_bytes``,
+    all are dropped and learnt again.
     """
 
-    ENTRY = 220  # bytes of a key's objects and its places, about
-
-    def __init__(self, learn, max_bytes: int = 96 << 20, pieces=tokenizer_pieces):
-        self.learn, self.max_bytes, self.pieces = learn, max_bytes, pieces
+    def __init__(self, learn, max_entries: int = 2_000_000, max_bytes: int = 32 << 20, pieces=tokenizer_pieces):
+        self.learn, self.max_entries, self.max_bytes, self.pieces = learn, max_entries, max_bytes, pieces
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.size = 0
+        self.keys, self.others, self.sizes, self.places = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.int32)
+        self.spelt: dict[bytes, int] = {}
+        self.bytes = 0
         self.kinds: dict[str, list[np.ndarray]] = {}
 
+    def _learn(self, raws: list[bytes]) -> np.ndarray:
+        """Places of new pieces."""
+        at = len(next(iter(self.kinds.values()))[0]) if self.kinds else 0
+        for kind, (flat, cnt) in self.learn([x.decode("utf-8", "replace") for x in raws]).items():
+            old = self.kinds.get(kind) or [np.zeros(0, np.int64), np.zeros(0, np.int32), flat[:0]]
+            self.kinds[kind] = [np.concatenate([old[0], len(old[2]) + np.cumsum(cnt, dtype=np.int64) - cnt]), np.concatenate([old[1], cnt]), np.concatenate([old[2], flat])]
+        return np.arange(at, at + len(raws), dtype=np.int32)
+
     def rows(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Where the values of the pieces (from each start to the next) are kept; holds until the next call."""
-        edges = np.append(starts, len(data)).astype(np.int64)
-        numbered = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        said = numbered.dictionary.to_pylist()
-        new = [x for x in said if x not in self.known]
-        if new and self.size + sum(map(len, new)) + self.ENTRY * len(new) > self.max_bytes:
+        ends = np.append(starts[1:], len(data)).astype(np.int64)
+        if len(self.keys) > self.max_entries or self.bytes > self.max_bytes:
             self._reset()
-            new = said
-        if new or not self.kinds:
-            found = self.learn([x.decode("utf-8", "replace") for x in new])
-            for kind, (flat, cnt) in found.items():
-                old = self.kinds.get(kind) or [np.zeros(0, np.int64), np.zeros(0, np.int32), flat[:0]]
-                self.kinds[kind] = [np.concatenate([old[0], len(old[2]) + np.cumsum(cnt, dtype=np.int64) - cnt]), np.concatenate([old[1], cnt]), np.concatenate([old[2], flat])]
-                self.size += flat.nbytes
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.size += sum(map(len, new)) + self.ENTRY * len(new)
-        return np.fromiter(map(self.known.__getitem__, said), np.int64, len(said))[numbered.indices.to_numpy()]
+        if not self.kinds:
+            self._learn([])
+        raw, size = data.tobytes(), ends - starts
+        a, b = span_hash(data, starts, ends)
+        out = np.full(len(starts), -1, np.int64)
+        short = np.flatnonzero(size <= 16)
+        if len(short):
+            a, b, n = a[short], b[short], size[short].astype(np.uint8)
+            numbered = pa.array(a).dictionary_encode()
+            which, key = numbered.indices.to_numpy(), numbered.dictionary.to_numpy()
+            first = np.empty(len(key), np.int64)
+            first[which[::-1]] = np.arange(len(a) - 1, -1, -1)
+            at = np.searchsorted(self.keys, key)
+            inside = np.minimum(at, max(0, len(self.keys) - 1))
+            taken = (self.keys[inside] == key) if len(self.keys) else np.zeros(len(key), bool)
+            place = np.full(len(key), -1, np.int64)
+            if taken.any():
+                same = taken & (self.others[inside] == b[first]) & (self.sizes[inside] == n[first])
+                place[same] = self.places[inside[same]]
+            if not taken.all():
+                new = np.flatnonzero(~taken)
+                new = new[np.argsort(key[new])]
+                found = first[new]
+                place[new] = self._learn([raw[x:y] for x, y in zip(starts[short[found]].tolist(), ends[short[found]].tolist(), strict=True)])
+                for name, values in (("keys", key[new]), ("others", b[found]), ("sizes", n[found]), ("places", place[new].astype(np.int32))):
+                    setattr(self, name, np.insert(getattr(self, name), at[new], values))
+            alike = (b == b[first[which]]) & (n == n[first[which]])
+            out[short] = np.where(alike, place[which], -1)
+        rest = np.flatnonzero(out < 0)
+        if len(rest):
+            said = [raw[x:y] for x, y in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            new = [x for x in dict.fromkeys(said) if x not in self.spelt]
+            self.spelt.update(zip(new, self._learn(new).tolist(), strict=True))
+            self.bytes += sum(map(len, new)) + 200 * len(new)
+            out[rest] = [self.spelt[x] for x in said]
+        return out
 
     def take(self, kind: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         off, cnt, flat = self.kinds[kind]
