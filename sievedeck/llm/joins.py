@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 HOT, SALTS = 1000, 64
 
 
-def salted_join(rows: DataFrame, index: DataFrame, keys: list[str], spread: list[str], count: str = "n") -> DataFrame:
-    """``rows`` joined with ``index`` (a row a key, with ``count`` the key's rows) on ``keys``, whole.
+def salted_join(rows: DataFrame, index: DataFrame, keys: list[str], spread: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``index`` (a row a key) on ``keys``, whole.
 
-    Keys with more than a ``HOT``-th of all rows, of which there are fewer than ``HOT`` whatever
+    ``counts`` (``index`` itself unless given) has ``n``, the rows of each key, and is staged. Keys with more
+    than a ``HOT``-th of all rows, of which there are fewer than ``HOT`` whatever
     the corpus, are marked by a broadcast; their rows are dealt by a hash of the columns
-    ``spread`` over ``SALTS`` tasks, each of which has a copy of the index row. ``index`` is read three
-    times, so it should be staged.
+    ``spread`` over ``SALTS`` tasks, each of which has a copy of the index row.
     """
-    total = index.agg(F.sum(count)).first()[0] or 0
-    hot = index.where(F.col(count) * HOT > total).select(*keys, F.lit(True).alias("__hot"))
+    counts = index if counts is None else counts
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * HOT > total).select(*keys, F.lit(True).alias("__hot"))
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt).drop("__hot")

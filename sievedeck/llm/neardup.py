@@ -182,9 +182,10 @@ def common_shingles(a: pa.Array, b: pa.Array, k: int) -> tuple[np.ndarray, np.nd
 PAIR_BYTES = 1 << 21
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b of the pairs (a, ra, b, rb) whose full sets have 100 * intersection >= percent * union."""
-    both = pairs.join(texts.toDF("b", "rb", "text_b"), ["b", "rb"]).join(texts.toDF("a", "ra", "text_a"), ["a", "ra"]).select("a", "b", "text_a", "text_b")
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, hubs: DataFrame) -> DataFrame:
+    """a, b of the pairs (a, ra, b, rb) whose full sets have 100 * intersection >= percent * union; hubs: how many pairs each (b, rb) has."""
+    both = salted_join(pairs, texts.toDF("b", "rb", "text_b"), ["b", "rb"], ["a", "ra"], hubs)
+    both = both.join(texts.toDF("a", "ra", "text_a"), ["a", "ra"]).select("a", "b", "text_a", "text_b")
 
     def run(batches):
         only(("neardup",))
@@ -287,16 +288,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alike = _alike(percent)
     sketch = reps.select("v", "row", "sketch", "n_shingles").join(texts.select("v", "row"), ["v", "row"], "left_semi")
 
-    def sifted(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sketches and set sizes leave the similarity possible."""
+    def similar(pairs: DataFrame, hubs: DataFrame) -> DataFrame:
+        """a, b of the pairs that are verified, of those whose sketches and set sizes leave it possible."""
         x, y = sketch.toDF("a", "ra", "sa", "na"), sketch.toDF("b", "rb", "sb", "nb")
-        return pairs.join(x, ["a", "ra"]).join(y, ["b", "rb"]).where(alike).select("a", "ra", "b", "rb")
+        sifted = salted_join(pairs.join(x, ["a", "ra"]), y, ["b", "rb"], ["a", "ra"], hubs).where(alike).select("a", "ra", "b", "rb")
+        return _verified(sifted, texts, shingle_words, percent, hubs)
 
+    per_hub = lambda pairs: staged(pairs.groupBy("b", "rb").agg(F.count("*").alias("n")), "hubs")
     stars = crowd.where("hub.v <> v OR hub.row <> row").select(F.col("v").alias("a"), F.col("row").alias("ra"), F.col("hub.v").alias("b"), F.col("hub.row").alias("rb")).distinct()
+    stars = staged(stars, "stars")
+    hubs = per_hub(stars)
     # Rows that share an id bring the classes of their texts together.
     several = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("doc_id", F.col("lo").alias("b"))
     same = member.join(several, "doc_id").select(F.col("rep").alias("a"), "b").where("a <> b")
-    links = staged(_verified(sifted(stars), texts, shingle_words, percent).union(same), "links")
+    links = staged(similar(stars, hubs).union(same), "links")
+    discard(stars, hubs)
     labels = components(links)
 
     placed = crowd.select("key", "v", "row").join(labels, "v", "left").select("key", "v", "row", F.coalesce("c", "v").alias("c"))
@@ -304,9 +310,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     apart = placed.join(mixed, "key").select("v", "row", "c").distinct()
     sets = staged(_set_rows(texts.join(apart, ["v", "row"]), shingle_words), "sets")
     met = staged(prefix_pairs(sets, percent), "met")
+    hubs = per_hub(met)
     discard(crowd, sets)
-    more = staged(_verified(sifted(met), texts, shingle_words, percent), "links")
-    discard(texts, met)
+    more = staged(similar(met, hubs), "links")
+    discard(texts, met, hubs)
     if not more.isEmpty():
         discard(labels)
         labels = components(links.union(more))

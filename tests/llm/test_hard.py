@@ -226,9 +226,24 @@ def test_piece_cache_that_overflows():
     import pyarrow as pa
 
     tok = Tokenizer.from_file(BYTE)
-    encoder = textvec.PieceCache(textvec.library_encoder(BYTE).learn, max_bytes=4000)
+    encoder = textvec.PieceCache(textvec.library_encoder(BYTE).learn, max_entries=9, max_bytes=4000)
     r = random.Random(4)
-    texts = [" ".join(f"word{r.randrange(40)}" for _ in range(r.randrange(0, 60))) for _ in range(60)]
+    texts = [" ".join(f"word{r.randrange(40)}{'long' * r.randrange(9)}" for _ in range(r.randrange(0, 60))) for _ in range(60)]
+    for a in range(0, 60, 5):
+        for _, ids, offs in textvec.encode_documents(pa.array(texts[a : a + 5]), encoder):
+            assert [ids[x:y].tolist() for x, y in zip(offs, offs[1:], strict=False)] == [tok.encode(t, add_special_tokens=False).ids for t in texts[a : a + 5]]
+
+
+def test_pieces_whose_first_hashes_meet(monkeypatch):
+    """Pieces are told apart by all they are known by, or by their bytes."""
+    import pyarrow as pa
+
+    plain = textvec.span_hash
+    monkeypatch.setattr(textvec, "span_hash", lambda *x: (plain(*x)[0] % np.uint64(7), plain(*x)[1]))
+    tok = Tokenizer.from_file(BYTE)
+    encoder = textvec.PieceCache(textvec.library_encoder(BYTE).learn)
+    r = random.Random(4)
+    texts = [" ".join(f"word{r.randrange(400)}" for _ in range(r.randrange(0, 60))) for _ in range(60)]
     for a in range(0, 60, 5):
         for _, ids, offs in textvec.encode_documents(pa.array(texts[a : a + 5]), encoder):
             assert [ids[x:y].tolist() for x, y in zip(offs, offs[1:], strict=False)] == [tok.encode(t, add_special_tokens=False).ids for t in texts[a : a + 5]]
