@@ -138,24 +138,51 @@ def keyword_stuffing(df: DataFrame, key: str = "doc_id", text_col: str = "text",
     return joined.select(key, "word", F.coalesce("freq", F.lit(0).cast("long")).alias("freq"), F.coalesce("total", F.lit(0).cast("long")).alias("total"), ratio.alias("ratio"), F.coalesce(ratio > threshold, F.lit(False)).alias("stuffed"), report.alias("report"))
 
 
-def cloaking_check(normal: DataFrame, bot: DataFrame, key: str = "url", body_col: str = "body", threshold: float = 0.10, preview: int = 500) -> DataFrame:
-    """key, status (ok, error, empty_normal), lengths, ratio, suspicious, previews, report, from two snapshots of each page."""
-    a = normal.select(key, strip(F.col(body_col)).alias("x"))
-    b = bot.select(key, strip(F.col(body_col)).alias("y"))
-    n, m = F.char_length("x"), F.char_length("y")
-    ratio = F.try_divide(F.abs(n - m).cast("double"), n)
-    status = F.when(F.col("x").isNull() | F.col("y").isNull(), "error").when(n == 0, "empty_normal").otherwise("ok")
+def two_decimals(x: Column) -> Column:
+    """A number of 0 or more as C's printf writes it with %.2f: its binary value rounded, ties to even.
+
+    Java's formatter rounds the shortest decimal form instead, ties up (18.125 to 18.13). All steps are exact:
+    a part of 2^-4 or more is a multiple of 2^-56, one of 2^-8 or more of 2^-60, and a lesser one rounds to 0.
+    """
+    whole = F.floor(x).cast("long")
+    part = x - whole
+    small = part < 2.0**-4
+    hundredths = F.when(small, part * 2.0**60).otherwise(part * 2.0**56).cast("long") * 100
+    down = F.when(small, F.shiftright(hundredths, 60)).otherwise(F.shiftright(hundredths, 56))
+    rest = hundredths - F.when(small, F.shiftleft(down, 60)).otherwise(F.shiftleft(down, 56))
+    half = F.when(small, F.lit(1 << 59)).otherwise(F.lit(1 << 55))
+    total = whole * 100 + down + ((rest > half) | ((rest == half) & (down % 2 == 1))).cast("long")
+    return F.concat(F.floor(total / 100).cast("string"), F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"))
+
+
+def compare_snapshots(both: DataFrame, key: str = "url", normal_col: str = "x", bot_col: str = "y", threshold: float = 0.10, preview: int = 500) -> DataFrame:
+    """The columns of ``cloaking_check`` for each row of a table that has both stripped responses; keys may repeat."""
+    both = both.select(key, F.col(normal_col).alias("x"), F.col(bot_col).alias("y"))
+    both = both.select("*", F.char_length("x").alias("n"), F.char_length("y").alias("m"))
+    both = both.select("*", F.try_divide(F.abs(F.col("n") - F.col("m")).cast("double"), "n").alias("ratio"))
+    ratio = F.col("ratio")
+    status = F.when(F.col("x").isNull() | F.col("y").isNull(), "error").when(F.col("n") == 0, "empty_normal").otherwise("ok")
     found = F.when(ratio > threshold, f"more than {threshold:.0%} apart, which may be cloaking").otherwise("no large difference")
     report = (
         F.when(status == "error", "a response is missing").when(status == "empty_normal", "the normal response is empty")
-        .otherwise(F.concat_ws("\n", F.format_string("normal response: %d characters", n), F.format_string("response for bots: %d characters", m), F.format_string("difference: %.2f%%", ratio * 100), found))
+        .otherwise(F.concat_ws("\n", F.format_string("normal response: %d characters", "n"), F.format_string("response for bots: %d characters", "m"), F.concat(F.lit("difference: "), two_decimals(ratio * 100), F.lit("%")), found))
     )
-    return a.join(b, key, "full").select(
-        key, status.alias("status"), n.cast("long").alias("len_normal"), m.cast("long").alias("len_bot"), ratio.alias("ratio"), F.coalesce(ratio > threshold, F.lit(False)).alias("suspicious"),
+    return both.select(
+        key, status.alias("status"), F.col("n").cast("long").alias("len_normal"), F.col("m").cast("long").alias("len_bot"), ratio, F.coalesce(ratio > threshold, F.lit(False)).alias("suspicious"),
         F.substring("x", 1, preview).alias("normal_preview"), F.substring("y", 1, preview).alias("bot_preview"), report.alias("report"),
     )
 
 
+def cloaking_check(normal: DataFrame, bot: DataFrame, key: str = "url", body_col: str = "body", threshold: float = 0.10, preview: int = 500) -> DataFrame:
+    """key, status (ok, error, empty_normal), lengths, ratio, suspicious, previews, report, from two snapshots of each page.
+
+    A key stands once in a snapshot; where both responses are in one row, ``compare_snapshots`` needs no join.
+    """
+    a = normal.select(key, strip(F.col(body_col)).alias("x"))
+    b = bot.select(key, strip(F.col(body_col)).alias("y"))
+    return compare_snapshots(a.join(b, key, "full"), key, threshold=threshold, preview=preview)
+
+
 def cluster_pages(features: DataFrame, columns: list[str], k: int = 2, seed: int = 42, starts: int = 5) -> DataFrame:
     """Add cluster by k-means on the columns as they are, of several starts that of least cost; clusters are numbered by the mean of the first column."""
     from pyspark.ml.clustering import KMeans

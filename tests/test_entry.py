@@ -44,3 +44,17 @@ def test_the_rest_stands_without_the_llm_folders(tmp_path):
             os.remove(copy / "corpus_pipeline.py")
         subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, timeout=300)
     subprocess.run([sys.executable, "-m", "pytest", "-q", "tests/test_entry.py", "-k", "every_query or test_entry_query"], cwd=copy, check=True, timeout=300)
+
+
+def test_cloaking_check_on_odd_pages(spark, tmp_path):
+    """Urls that repeat or lack, percentages on ties, no HTML, space and letters that Java's patterns take otherwise."""
+    nav = lambda n, cut: "x" * (n - cut) + "<nav>" + "y" * (cut - 11) + "</nav>"
+    bodies = [nav(1440, 261), nav(4800, 270), nav(3200, 276), "a", "b", "a<nav>b</nav>", None, "", " \n", "\xa0a\xa0", "\va \x85", "a  ", "\f\ra\t", "x<ſcript>y</SCRIPT >z", "x<scripté>y</script>z", "x<NAV>y</nav\v>z", "x<scripts>y</script>z"]
+    rows = [(k, "u" if 3 <= k <= 5 else None if k in (8, 9) else f"u{k}", body) for k, body in enumerate(bodies)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(catalog.oracle_sql()["cloaking_check"])
+    got = catalog.queries()["cloaking_check"](spark, str(tmp_path)).select(want.columns)
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
+    assert len(rows) == got.count() and any("18.12%" in r["report"] for r in got.collect())
