@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import random
 import time
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievedeck.functions.text import jaccard, tokens, word_grams
 from sievedeck.operators.index import spread
-from sievedeck.session import staged
+from sievedeck.session import discard, staged
 
 PERMUTATIONS, PRIME = 50, (1 << 31) - 1
+#: Parts of the hashes that shingles are counted in, one after the other; more take less disk and more time.
+ROUNDS = 2
 
 
 def constants(n: int = PERMUTATIONS, seed: int = 1) -> list[tuple[int, int]]:
@@ -29,28 +32,72 @@ def shingle_rows(df: DataFrame, k: int = 3, id_col: str = "doc_id", text_col: st
     return words.select("doc_id", F.explode(F.array_distinct(word_grams(F.col("words"), k, joiner))).alias("gram"))
 
 
+def _shared_shingles(df: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n, s: the number of distinct shingles and, sorted, the keys of those that another row has too.
+
+    A key is a word of 64 bits: on top the size class of the shingle's frequency (its bits, rarest first), below
+    60 bits of its hash. Shingles are counted in rounds of their own hashes each, so that the shuffle of all of them
+    is never on disk at once; of those in one row only none is kept. Rows that share an id are one document.
+    """
+    docs = spread(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id")
+    words = docs.select("doc_id", tokens(F.col("text")).alias("w"))
+    hashes = F.transform("w", lambda w, i: F.xxhash64(w, *(F.get(F.col("w"), i + j) for j in range(1, k))))
+    grams = words.select("doc_id", F.array_distinct(F.slice(hashes, F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(0)))).alias("g"))
+    # Outer: else a filter on the arrays goes below all this, and words are cut anew for each gram.
+    rows = grams.select("doc_id", F.size("g").alias("size"), F.posexplode_outer("g").alias("at", "h"))
+    # The first shingle of a row bears their number, and stays for it.
+    rows = rows.select("doc_id", F.when(F.col("at") == 0, F.col("size")).alias("n"), "h")
+    rounds = []
+    for turn in range(ROUNDS):
+        part = rows.where(F.pmod("h", F.lit(ROUNDS)) == turn)
+        part = part.select("*", F.count("*").over(Window.partitionBy("h")).alias("f")).where("f > 1 OR n IS NOT NULL")
+        key = F.shiftleft((F.least(F.length(F.bin("f")), F.lit(16)) - 9).cast("long"), 60).bitwiseOR(F.col("h").bitwiseAND(F.lit((1 << 60) - 1)))
+        rounds.append(staged(part.select("doc_id", "n", F.when(F.col("f") > 1, key).alias("key")), "shingles"))
+    every = functools.reduce(DataFrame.unionByName, rounds)
+    lists = every.groupBy("doc_id").agg(F.sum("n").alias("n"), F.collect_list("key").alias("all"))
+    lists = lists.select("doc_id", "n", F.size("all").alias("size"), F.array_distinct("all").alias("s"))
+    sets = staged(lists.select("doc_id", (F.col("n") - F.col("size") + F.size("s")).alias("n"), F.sort_array("s").alias("s")), "sets")
+    discard(*rounds)
+    return sets
+
+
+def _equal_sets(sets: DataFrame) -> DataFrame:
+    """doc_id, rep, n of the documents whose set another one has too; rep is the least of them."""
+    marks = [F.xxhash64("s").alias("k1"), F.hash("s").alias("k2"), F.get("s", F.lit(0)).alias("k3"), F.get("s", F.size("s") - 1).alias("k4")]
+    keyed = sets.where(F.size("s") == F.col("n")).select("doc_id", "n", *marks)
+    keys = ["n", "k1", "k2", "k3", "k4"]
+    classes = keyed.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return staged(keyed.join(classes, keys).select("doc_id", "rep", "n"), "copies")
+
+
 def shingle_pairs(df: DataFrame, threshold: float = 0.6, k: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """a, b, common, sim of the pairs a < b with similarity of the threshold or more.
 
-    A prefix filter makes the join small: a pair that alike shares one of the rarest
-    shingles of both sets, so only these prefixes are joined, and candidates are then counted in full.
+    A prefix filter makes the join small: a pair that alike shares one of the rarest shingles of both
+    sets, so only these prefixes are joined, and candidates are then counted in full. Of documents with
+    equal sets the least stands for all in the joins; their pairs are made after them, as output only.
     """
-    rows = shingle_rows(df, k, id_col, text_col)
-    frequency = rows.groupBy("gram").agg(F.count("*").alias("f"))
-    sets = staged(
-        rows.join(frequency.where("f > 1"), "gram", "left").groupBy("doc_id").agg(
-            F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("f").isNotNull(), F.struct("f", F.xxhash64("gram").alias("h"), "gram")))).alias("s")
-        ),
-        "sets",
-    )
+    sets = _shared_shingles(df, k, id_col, text_col)
+    copies = _equal_sets(sets)
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
     unique = F.col("n") - F.size("s")  # shingles of one document alone are the rarest of all
-    prefix = sets.withColumn("p", F.greatest(F.lit(0), keep - unique).cast("int")).select("doc_id", "n", F.explode(F.slice("s", F.lit(1), F.col("p"))).alias("g")).select("doc_id", "n", "g.gram")
-    left, right = prefix.toDF("a", "na", "gram"), prefix.toDF("b", "nb", "gram")
-    candidates = left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)).select("a", "b", "na", "nb").distinct()
-    both = candidates.join(sets.select(F.col("doc_id").alias("a"), F.col("s.gram").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s.gram").alias("sb")), "b")
-    counted = both.withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    return counted.select("a", "b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("sim")).where(F.col("sim") >= threshold)
+    prefix = sets.select("doc_id", "n", unique.alias("u"), F.slice("s", F.lit(1), F.greatest(F.lit(0), keep - unique).cast("int")).alias("p")).where(F.size("p") > 0)
+    prefix = prefix.join(copies.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti")
+    # left: how many shingles can still be common if this one is the first that is.
+    prefix = prefix.select("doc_id", "n", "u", F.posexplode("p").alias("at", "key")).select("doc_id", "n", (F.col("n") - F.col("u") - F.col("at")).alias("left"), "key")
+    left, right = prefix.toDF("a", "na", "la", "key"), prefix.toDF("b", "nb", "lb", "key")
+    enough = F.least("la", "lb") >= (F.col("na") + F.col("nb")) * (threshold / (1 + threshold)) - 1e-6
+    candidates = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9) & enough).select("a", "b", "na", "nb").distinct()
+    both = candidates.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    counted = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("common"))
+    counted = counted.select("a", "b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("sim")).where(F.col("sim") >= threshold)
+    counted = staged(counted, "pairs")
+    discard(sets)
+    members = copies.select("doc_id", "rep")
+    across = counted.join(members.toDF("x", "a"), "a", "left").join(members.toDF("y", "b"), "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"), "common", "sim")
+    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "common", "sim")
+    same = copies.toDF("a", "rep", "common").join(members.toDF("b", "rep"), "rep").where("a < b").select("a", "b", "common", F.lit(1.0).alias("sim"))
+    return across.unionByName(same.where(F.col("sim") >= threshold))
 
 
 def shingle_pairs_theta(df: DataFrame, k: int = 3, threshold: float = 0.6, max_docs: int = 1000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

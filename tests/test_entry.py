@@ -1,4 +1,5 @@
 import os
+import random
 import shutil
 import subprocess
 import sys
@@ -58,3 +59,21 @@ def test_cloaking_check_on_odd_pages(spark, tmp_path):
     got = catalog.queries()["cloaking_check"](spark, str(tmp_path)).select(want.columns)
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
     assert len(rows) == got.count() and any("18.12%" in r["report"] for r in got.collect())
+
+
+def test_shingle_pairs_keep_no_texts_of_shingles(spark, tmp_path, monkeypatch):
+    """What is staged is small: hashes only. Copies, near copies, ids that two rows share, repeats, short texts and none."""
+    kept = []
+    monkeypatch.setattr(catalog.shingles, "staged", lambda df, name, f=catalog.shingles.staged: kept.append(df) or f(df, name))
+    r = random.Random(5)
+    texts = [" ".join(r.choices(["Ab", "cd", "ef", "gh-ij", "É", "k_1"], k=40)) for _ in range(6)]
+    texts += [" ".join(w if r.random() > 0.03 else "new" for w in t.split()) for t in texts for _ in range(4)] + texts[:3] * 3 + ["a a a a a", "a a a", "b c", "", None, "A, a; a!"]
+    rows = [(k if k % 9 else 1000 + k // 18, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(catalog.oracle_sql()["shingle_jaccard_pairs"])
+    got = catalog.queries()["shingle_jaccard_pairs"](spark, str(tmp_path)).select(want.columns)
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(want.fetchall()) and len(rows) > 40
+    assert kept and not any("string" in kind for df in kept for _, kind in df.dtypes)
